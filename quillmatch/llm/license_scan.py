@@ -82,22 +82,23 @@ def _scanner(notices: tuple[tuple[str, str], ...], every: int):
 def fuzzy_spans(joined: str, notices: tuple[tuple[str, str], ...] = NOTICES, every: int = EDIT_EVERY) -> list[tuple[int, int, int, int]]:
     """(notice index, start, end, edits) of verified matches in space-joined words."""
     auto, exact = _scanner(tuple(notices), every)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, list[tuple[int, int]]] = {}
     for end, (size, where) in auto.iter(joined):
         for n, at in where:
             k = exact[n][1]
             lo = end + 1 - size - at - k
             hi = lo + len(notices[n][0]) + 2 * k
-            own = windows.setdefault(n, [])
-            if own and lo <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], hi)
-                own[-1][0] = min(own[-1][0], lo)
-            else:
-                own.append([lo, hi])
+            windows.setdefault(n, []).append((lo, hi))
     out = []
     for n, own in windows.items():
         pattern = exact[n][0]
-        for lo, hi in own:
+        joint: list[list[int]] = []
+        for lo, hi in sorted(own):
+            if joint and lo <= joint[-1][1]:
+                joint[-1][1] = max(joint[-1][1], hi)
+            else:
+                joint.append([lo, hi])
+        for lo, hi in joint:
             at = max(0, lo)
             while m := pattern.search(joined, at, min(len(joined), hi)):
                 out.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
