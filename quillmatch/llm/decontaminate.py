@@ -33,31 +33,40 @@ MIN_LITERAL = 4
 MAX_CONFLICTS = 0.2
 #: Rows of (hash, item, place) that may be broadcast; about 24 bytes each.
 MAX_BROADCAST = 1_000_000
-UNITS = "%|€|\\$|£|°|percent|km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|feet|foot|inch|inches|dollars?|euros?|cents?|pounds?|grams?|litres?|liters?|degrees?|stunden?|minuten?|tage?|jahre?|heures?|jours?|ans|horas?|d[ií]as?|a[ñn]os?"
-NUMBERS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|dozen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million"
-_TOKEN = r"[\p{L}\p{M}]+|\p{N}+(?:[.,:/]\p{N}+)*|[%€$£°]|[.!?\n]+"
+UNITS = (
+    "% € $ £ ° percent km cm mm m kg mg g lb lbs oz l ml mph kmh hour hours minute minutes second seconds day days week weeks month months year years mile miles"
+    " meter meters metre metres foot feet inch inches dollar dollars euro euros cent cents pound pounds gram grams litre litres liter liters degree degrees"
+    " stunde stunden minuten tag tage jahr jahre heure heures jour jours an ans hora horas día días año años"
+).split()
+NUMBERS = "two three four five six seven eight nine ten eleven twelve dozen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+_TOKEN = r"[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*|[%€$£°]|[.!?\n]+"
+_ENDS = (".", "!", "?", "\n")
 
 
-def template(text: Column) -> Column:
-    """Array of (t, v): the template word and the word that stood there."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
-    number = lambda x: x.rlike(r"^\p{N}") | F.lower(x).rlike(f"^(?:{NUMBERS})$")
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with one more column that is computed once for each row, however often it is used."""
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
+def templates(df: DataFrame) -> DataFrame:
+    """text becomes w: an array of (t, v), the template word and the word that stood there."""
+    words = _once(df, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_TOKEN), F.lit(0)), "words").drop("text")
+    digit = lambda x: (x >= "0") & (x < ":")
 
     def canon(x: Column, i: Column) -> Column:
-        first = F.substring(x, 1, 1)
-        before = F.get(words, i - 1)
-        low = F.lower(x)
+        low, before = F.lower(x), F.get("words", i - 1)
+        end = lambda y: F.substring(y, 1, 1).isin(*_ENDS)
         return F.struct(
-            F.when(first.isin(".", "!", "?", "\n"), F.lit(""))
-            .when(number(x), F.lit("<num>"))
-            .when(before.rlike(r"^\p{N}") & low.rlike(f"^(?:{UNITS})$"), F.lit("<unit>"))
-            .when((F.upper(first) == first) & (low != x) & before.isNotNull() & ~F.substring(before, 1, 1).isin(".", "!", "?", "\n") & x.rlike(r"^\p{Lu}\p{Ll}+$"), F.lit("<name>"))
+            F.when(digit(x) | low.isin(*NUMBERS), "<num>")
+            .when(digit(before) & low.isin(*UNITS), "<unit>")
+            .when(low == x, F.when(end(x), "").otherwise(x))
+            .when((i > 0) & ~end(before) & x.rlike(r"^\p{Lu}\p{Ll}+$"), "<name>")
             .otherwise(low)
             .alias("t"),
             low.alias("v"),
         )
 
-    return F.filter(F.transform(words, canon), lambda w: w["t"] != "")
+    return _once(words, F.filter(F.transform("words", canon), lambda w: w["t"] != ""), "w").drop("words")
 
 
 def _windows(words: str, size: int) -> Column:
@@ -70,7 +79,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     ``docs`` has doc_id and text, ``benchmark`` has item_id and text.
     """
-    items = pick(benchmark, "item_id", "text").distinct().select("item_id", template(F.col("text")).alias("w")).where(F.size("w") >= min_literal)
+    items = templates(pick(benchmark, "item_id", "text").distinct()).where(F.size("w") >= min_literal)
     items = items.withColumn("size", F.least(F.size("w"), F.lit(window))).withColumn("t", F.expr("w.t"))
     spots = items.select("item_id", "size", F.posexplode(F.expr("transform(sequence(0, size(w) - size), i -> slice(w, i + 1, size))")).alias("ipos", "part"))
     plain = F.size(F.filter("part", lambda w: ~F.startswith(w["t"], F.lit("<"))))
@@ -80,7 +89,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     small = (lambda df: F.broadcast(df)) if n <= max_broadcast else (lambda df: df)
 
     own = pick(docs, "doc_id", "text")
-    words = own.select("doc_id", template(F.col("text")).alias("w")).select("doc_id", F.expr("w.t").alias("t"))
+    words = _once(templates(own), F.expr("w.t"), "t").drop("w")
     every = F.concat(*[_windows("t", k) for k in sizes]) if sizes else F.expr("cast(array() as array<bigint>)")
     hashes = words.select("doc_id", F.explode(every).alias("h"))
     hit = hashes.join(small(spots.select("h", "item_id").distinct()), "h").distinct()
@@ -91,7 +100,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     # slots of candidates
     few = own.join(pairs.select(F.col("doc_id").alias("d2")).distinct(), F.col("doc_id").eqNullSafe(F.col("d2")), "left_semi").distinct()
-    few = few.select("doc_id", template(F.col("text")).alias("w"))
+    few = templates(few)
     slotted = spots.where(F.exists("t", lambda t: F.startswith(t, F.lit("<"))))
     if not slotted.limit(1).count():
         return pairs.select("doc_id", "item_id", "windows", "share", F.lit(0).cast("long").alias("slots"), F.lit(0).cast("long").alias("conflicts"), F.lit(True).alias("exact"))
