@@ -145,15 +145,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     return ratio, min(by[1][int(max_loss * len(by[1]))] - 1e-9, middle)
 
 
+def llr(ratio: np.ndarray, ids: np.ndarray, seen: dict[bytes, int], n: int) -> float:
+    """Mean log ratio of a text's n-grams; 0 for none."""
+    own = buckets(ids, seen, n)
+    return float(ratio[own].sum() / len(own)) if len(own) else 0.0
+
+
 def _scorer(ratio: np.ndarray | None, threshold: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             rows = []
             for text in raw(block.column(1)):
                 base, ids, seen = text_rules(text)
-                own = buckets(ids, seen, n) if ratio is not None else ()
-                llr = float(ratio[own].sum() / len(own)) if len(own) else 0.0
-                rows.append((*base, not base[5] and llr >= threshold, llr))
+                score = 0.0 if ratio is None else llr(ratio, ids, seen, n)
+                rows.append((*base, not base[5] and score >= threshold, score))
             yield record(OUT, block.column(0), *(list(c) for c in zip(*rows, strict=True)))
 
     return run
@@ -169,5 +174,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     return own.mapInArrow(_scorer(ratio, threshold, n), DDL)
 
 
+def quality_filter(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], max_labelled: int = MAX_LABELLED, max_loss: float = MAX_LOSS, n: int = BUCKETS) -> DataFrame:
+    """The named columns of the documents that the rules keep: a filter without a shuffle."""
+    ratio, threshold = fit(docs, labels, max_labelled, max_loss, n)
+    own = pick(docs, *columns)
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            kept = []
+            for text in raw(block.column(at)):
+                base, ids, seen = text_rules(text)
+                kept.append(not base[5] and (ratio is None or llr(ratio, ids, seen, n) >= threshold))
+            yield block.filter(pa.array(kept, pa.bool_()))
+
+    return own.mapInArrow(run, own.schema)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

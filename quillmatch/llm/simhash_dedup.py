@@ -61,15 +61,20 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, k1, k2 (a 128-bit key of id and text) and fp (the 64 bits as a signed long) of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             fps = np.array([fingerprint(t, words, seed) for t in raw(block.column(1))], dtype=np.uint64)
-            yield record(schema, block.column(0), pa.array(fps.view(np.int64)))
+            yield record(schema, block.column(0), block.column(2), block.column(3), pa.array(fps.view(np.int64)))
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return own.withColumns(_row_keys()).mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
+
+
+def _row_keys() -> dict:
+    return {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("simhash"), "text", "doc_id")}
 
 
 def _masks(bits: range, most: int) -> list[int]:
@@ -104,17 +109,32 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.unionAll(stars).distinct()
 
 
-def simhash_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    own = stash(fingerprints(docs, words, seed), "fingerprints")
-    heads = own.groupBy("fp").agg(F.min("doc_id").alias("head"))
+def _named(own: DataFrame, head, radius: int) -> DataFrame:
+    """(fp, head, component_id): the least head of each fingerprint and of its component."""
+    heads = own.groupBy("fp").agg(F.min(head).alias("head"))
     edges = stash(links(heads.select("fp"), radius), "links")
     linked = heads.join(components(edges).withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("label").agg(F.min("head").alias("component_id"))
-    names = heads.join(linked.join(least, "label").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "head").alias("component_id"))
-    out = own.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = heads.join(linked.join(least, "label").select("fp", "component_id"), "fp", "left").select("fp", "head", F.coalesce("component_id", "head").alias("component_id"))
     drop_stash(edges)
-    return out
+    return names
+
+
+def simhash_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    own = stash(fingerprints(docs, words, seed), "fingerprints")
+    names = _named(own, F.col("doc_id"), radius).select("fp", "component_id")
+    return own.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_keep(docs: DataFrame, columns: tuple[str, ...], words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """The named columns of one document of each group: that with the smallest id, of equal rows one."""
+    own = stash(fingerprints(docs, words, seed), "fingerprints")
+    heads = _named(own, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2"), radius)
+    kept = heads.where(F.col("head") == F.col("component_id")).select("head.k1", "head.k2")
+    rows = pick(docs, *columns).withColumns(_row_keys()).join(kept, ["k1", "k2"], "left_semi")
+    one = rows.withColumn("row", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).where("row = 1")
+    return one.select(*columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import blocks, pick, ragged, raw, record, stash, table
 
@@ -282,11 +283,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     return whole.unionAll(near).unionAll(crowds)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every document."""
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, the kept bytes, and the columns ``carry`` of every document."""
     if gram & (gram - 1) or gram >= length:
         raise ValueError("gram must be a power of two below length")
-    own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = pick(docs, "doc_id", "text", *carry).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     own = own.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("quill"), "text", "doc_id")})
     spans = repeated_spans(own, length, gram, crowd).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # spans of one text
 
@@ -306,9 +307,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
                 edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(text), len(text) - len(kept), len(s), kept))
-            yield record(_OUT, block.column(0), *(list(c) for c in zip(*rows, strict=True)))
+            made = record(_OUT, block.column(0), *(list(c) for c in zip(*rows, strict=True)))
+            yield pa.RecordBatch.from_arrays([*made.columns, *block.columns[3:]], names=[*made.schema.names, *carry])
 
-    return own.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(remove, _OUT_DDL)
+    joined = own.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans", *carry)
+    schema = T.StructType([*T._parse_datatype_string(_OUT_DDL).fields, *joined.select(*carry).schema.fields])
+    return joined.mapInArrow(remove, schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
