@@ -60,7 +60,7 @@ def fnv1a64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def fnv1a64_sql(text: Column) -> Column:
     """The same without Python: 32-bit halves keep every product below 2^63."""
     prime = 435
-    start = F.struct(F.lit(FNV_BASIS >> 32).alias("hi"), F.lit(FNV_BASIS & 0xFFFFFFFF).cast("long").alias("lo"))
+    start = F.struct(F.lit(FNV_BASIS >> 32).cast("long").alias("hi"), F.lit(FNV_BASIS & 0xFFFFFFFF).cast("long").alias("lo"))
     mask = F.lit(0xFFFFFFFF).cast("long")
 
     def step(state: Column, byte: Column) -> Column:

@@ -106,7 +106,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     ball = crowd.select("fp", F.explode(every).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
     # a key has at most as many members as the ball has points, 2,081
     stars = ball.select(F.first("fp").over(Window.partitionBy("key").orderBy("fp")).alias("u"), F.col("fp").alias("v")).where("u <> v")
-    return pairs.unionAll(stars).distinct()
+    edges = pairs.unionAll(stars).distinct()
+    # the smallest neighbour below v takes over v's other links: in a crowd most of them become equal
+    low = F.first("u").over(Window.partitionBy("v").orderBy("u"))
+    return edges.select(low.alias("u"), F.when(F.col("u") == low, F.col("v")).otherwise(F.col("u")).alias("v")).distinct()
 
 
 def _named(own: DataFrame, head, radius: int) -> DataFrame:

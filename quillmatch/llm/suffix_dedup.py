@@ -43,9 +43,9 @@ GRAM = 64
 #: Contents of one anchor hash that meet in one transform.
 CROWD = 2048
 #: Bytes of a transform, apart from a single larger group.
-TRANSFORM_BYTES = 2 << 20
+TRANSFORM_BYTES = 1 << 20
 _POS = 24
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 19
 
 _RUNS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mh", pa.int64()), ("ch", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
 _RUNS_DDL = "k1 long, k2 long, mh long, ch long, lo long, n int"
