@@ -7,7 +7,8 @@ The benchmark's windows are broadcast after their number has been counted and
 found below ``max_broadcast``; beyond that the join shuffles. A text that holds
 at least ``min_share`` of an item's windows is a candidate; for candidates
 alone, the values in the slots are compared: along one alignment of text and
-item, each value of the item must stand for one value of the text.
+item, each value of the item must stand for one value of the text; each further
+value is a conflict, and conflicts may be ``max_conflicts`` of the slots at most.
 
 A name is a capitalised word in mid-sentence; a unit follows a number. Windows
 of the benchmark with fewer than ``min_literal`` plain words are not used. Items
@@ -110,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     met = at.join(small(slotted.select("h", "size", "item_id", "ipos", "ivals", "t")), ["h", "size"])
     value = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), F.explode(F.arrays_zip("t", "ivals", "vals")).alias("x")).where("startswith(x.t, '<')")
     value = value.groupBy("doc_id", "item_id", "shift", F.col("x.t").alias("t"), F.col("x.ivals").alias("iv")).agg(F.count_distinct("x.vals").alias("kinds"), F.min(F.col("x.vals") == F.col("x.ivals")).alias("same"))
-    by = value.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("slots"), F.sum((F.col("kinds") > 1).cast("long")).alias("conflicts"), F.min("same").alias("exact"))
+    by = value.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("slots"), F.sum(F.col("kinds") - 1).alias("conflicts"), F.min("same").alias("exact"))
     best = by.groupBy(F.col("doc_id").alias("d2"), F.col("item_id").alias("i2")).agg(F.max_by(F.struct("slots", "conflicts", "exact"), F.struct(F.col("slots") - 2 * F.col("conflicts"), -F.col("shift"))).alias("b"))
     out = pairs.join(best, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("item_id").eqNullSafe(F.col("i2")), "left")
     out = out.select("doc_id", "item_id", "windows", "share", F.coalesce("b.slots", F.lit(0).cast("long")).alias("slots"), F.coalesce("b.conflicts", F.lit(0).cast("long")).alias("conflicts"), F.coalesce("b.exact", F.lit(True)).alias("exact"))
