@@ -17,8 +17,12 @@ anywhere else, in its own text or another.
    l has a common prefix of l. After level ``length - 1`` the boundaries that
    were never met are those with a common prefix of ``length`` or more, so the
    expansion stops there.
-4. A group with more than ``crowd`` different contents is not brought together:
-   its windows meet by a 128-bit hash, counted before the shuffle.
+4. A group with more than ``crowd`` different contents is not brought together.
+   Its windows are numbered by the distance from the anchor, and neighbours form
+   blocks. The bytes that all windows of a block have in common meet by a 128-bit
+   hash, counted before the shuffle; blocks whose common bytes stand in one
+   content only hold no repeated window. The others are cut in four, down to
+   single windows: rows follow the repeats, not the windows.
 5. The spans return to their texts by a key made of id and text.
 
 Defined results: a null text counts as empty; texts shorter than ``length``
@@ -44,13 +48,15 @@ GRAM = 64
 CROWD = 2048
 #: Bytes of a transform, apart from a single larger group.
 TRANSFORM_BYTES = 1 << 20
+#: Windows of a block at each level.
+BLOCKS = (64, 16, 4, 1)
 _POS = 24
 _SEGMENT = 1 << 19
 
 _RUNS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mh", pa.int64()), ("ch", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
 _RUNS_DDL = "k1 long, k2 long, mh long, ch long, lo long, n int"
-_SLICES = pa.schema([("mh", pa.int64()), ("crowded", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
-_SLICES_DDL = "mh long, crowded boolean, k1 long, k2 long, lo long, bytes binary"
+_SLICES = pa.schema([("mh", pa.int64()), ("crowded", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("anchor", pa.int32()), ("bytes", pa.binary())])
+_SLICES_DDL = "mh long, crowded boolean, k1 long, k2 long, lo long, anchor int, bytes binary"
 _SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 _SPANS_DDL = "k1 long, k2 long, s long, e long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -197,6 +203,31 @@ def repeated(slices: list[bytes], length: int = LENGTH) -> np.ndarray:
     return out
 
 
+def anchor_place(part: bytes, mh: int, n: int, gram: int = GRAM) -> int:
+    """Where the anchor with hash ``mh`` stands in the bytes of a run of ``n`` windows."""
+    h = gram_hashes(np.frombuffer(part, dtype=np.uint8)[n - 1 :], gram).view(np.int64)
+    return n - 1 + int(np.argmax(h == mh))
+
+
+def _crowd_spans(contents: DataFrame, length: int) -> DataFrame:
+    """Spans of the windows that stand in two or more of the contents; contents: k1, k2, lo, anchor, bytes, without repeats."""
+    spans = "k1", "k2", F.expr("lo + anchor - w").alias("s"), F.expr(f"lo + anchor - w + {length}").alias("e")
+    live = contents.withColumn("w", F.lit(None).cast("long"))
+    if not live.limit(1).count():
+        return live.select(*spans)
+    first, last = F.col("anchor") - (F.length("bytes") - length), F.col("anchor")  # distances of the run's windows from the anchor
+    above = None
+    for size in BLOCKS:
+        lo, hi = (first, last) if above is None else (F.greatest(first, F.col("w")), F.least(last, F.col("w") + (above - 1)))
+        grid = F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
+        live = live.select("k1", "k2", "lo", "anchor", "bytes", grid.alias("g")).withColumn("w", F.col("g") * size).drop("g")
+        core = F.substring("bytes", (F.col("anchor") - F.col("w") + 1).cast("int"), F.lit(length - size + 1))
+        live = stash(live.withColumns({"c1": F.xxhash64("w", core), "c2": F.xxhash64(core, "w")}), "blocks")
+        twice = live.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
+        live, above = live.join(twice, ["c1", "c2"]).drop("c1", "c2"), size
+    return live.select(*spans)
+
+
 def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans in order without overlaps or touching ends."""
     order = np.argsort(starts, kind="stable")
@@ -228,7 +259,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             for k1, k2, text, own_runs in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), raw(block.column(2)), block.column(3).to_pylist(), strict=True):
-                rows = [(r["mh"], r["crowded"], k1, k2, r["lo"], text[r["lo"] : r["lo"] + r["n"] - 1 + length]) for r in own_runs]
+                rows = []
+                for r in own_runs:
+                    part = text[r["lo"] : r["lo"] + r["n"] - 1 + length]
+                    rows.append((r["mh"], r["crowded"], k1, k2, r["lo"], anchor_place(part, r["mh"], r["n"], gram) if r["crowded"] else None, part))
                 yield record(_SLICES, *(list(c) for c in zip(*rows, strict=True)))
 
     slices = stash(docs.join(ship, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(cut, _SLICES_DDL), "slices")
@@ -264,21 +298,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
 
     near = slices.where("not crowded").select("mh", "k1", "k2", "lo", "bytes").repartition("mh").sortWithinPartitions("mh").mapInArrow(transform, _SPANS_DDL)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), *list(_SPANS)[:3]])
-        for block in blocks(batches, "bytes", 1 << 16):
-            rows = []
-            for k1, k2, lo, own_bytes in zip(*(c.to_pylist() for c in block.columns), strict=True):
-                for i in range(len(own_bytes) - length + 1):
-                    h = xxhash.xxh3_128_digest(own_bytes[i : i + length])
-                    rows.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), k1, k2, lo + i))
-            yield record(schema, *(list(c) for c in zip(*rows, strict=True)))
-
-    every = slices.where("crowded").select("k1", "k2", "lo", "bytes").mapInArrow(windows, "w1 long, w2 long, k1 long, k2 long, s long")
-    twice = every.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    crowds = every.join(twice, ["w1", "w2"]).select("k1", "k2", "s", (F.col("s") + length).alias("e"))
+    crowds = _crowd_spans(slices.where("crowded").select("k1", "k2", "lo", "anchor", "bytes"), length)
     whole = found.where("whole").select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e"))
     return whole.unionAll(near).unionAll(crowds)
 
