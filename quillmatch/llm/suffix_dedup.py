@@ -303,8 +303,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     return whole.unionAll(near).unionAll(crowds)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, the kept bytes, and the columns ``carry`` of every document."""
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: tuple[str, ...] = (), whole_chars: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, the kept bytes, and the columns ``carry`` of every document.
+
+    With ``whole_chars``, the rest of a character that a removal has cut goes from the kept bytes as well.
+    """
     if gram & (gram - 1) or gram >= length:
         raise ValueError("gram must be a power of two below length")
     own = pick(docs, "doc_id", "text", *carry).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
@@ -326,7 +329,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
                 at += k
                 edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(text), len(text) - len(kept), len(s), kept))
+                gone = len(text) - len(kept)
+                rows.append((len(text), gone, len(s), kept.decode("utf-8", "ignore").encode() if whole_chars else kept))
             made = record(_OUT, block.column(0), *(list(c) for c in zip(*rows, strict=True)))
             yield pa.RecordBatch.from_arrays([*made.columns, *block.columns[3:]], names=[*made.schema.names, *carry])
 
