@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import blocks, drop_stash, pick, raw, record, stash, table
+from ._common import blocks, drop_stash, partitions, pick, raw, record, stash, table
 from ._graph import components
 
 RADIUS = 4
@@ -103,7 +103,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     pairs = sums.where("n = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v")
     crowd = near.join(sums.where("n > 2").select("half", "key"), ["half", "key"], "left_semi").select("fp").distinct()
     every = _constant(_masks(range(64), radius // 2))
-    ball = crowd.select("fp", F.explode(every).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
+    # every row becomes 2,081: dealt out by number, or the few bytes would all go to one or two tasks
+    ball = crowd.repartition(partitions(fps.sparkSession), "fp").select("fp", F.explode(every).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
     # a key has at most as many members as the ball has points, 2,081
     stars = ball.select(F.first("fp").over(Window.partitionBy("key").orderBy("fp")).alias("u"), F.col("fp").alias("v")).where("u <> v")
     edges = pairs.unionAll(stars).distinct()
