@@ -138,18 +138,21 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarra
     key = np.zeros(n, dtype=np.int64)
     for j in range(7):
         key = (key << 9) | np.where(left >= j, wide[j : n + j], 0)
+    order = np.argsort(key)
+    sorted_keys, slots, rank = key[order], np.arange(n), np.empty(n, dtype=np.int64)
     size = 7
-    while True:
-        order = np.argsort(key)
-        fresh = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(fresh)
-        if size >= depth or fresh.all():
+    while True:  # slots: those whose place is not alone with its rank, in groups
+        fresh = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
+        own = order[slots]
+        rank[own] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))] + 1
+        slots = slots[~(fresh & np.append(fresh[1:], True))]
+        if size >= depth or not len(slots):
             return order
-        beyond = np.zeros(n, dtype=np.int64)
-        if size < n:
-            beyond[: n - size] = np.where(left[: n - size] >= size, rank[size:], 0)
-        key = rank * (n + 1) + beyond
+        own = order[slots]
+        beyond = np.where(left[own] >= size, rank[np.minimum(own + size, n - 1)], 0)
+        key = rank[own] * (n + 1) + beyond
+        again = np.argsort(key)
+        order[slots], sorted_keys = own[again], key[again]
         size *= 2
 
 
