@@ -93,7 +93,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     ``fps`` has the column fp without repeats.
     """
     half, n = radius // 4, partitions(fps.sparkSession)
-    fps = fps.repartition(n, "fp")  # by number: 66 rows come of each, and the few bytes would all go to one or two tasks
+    # 66 rows come of each, and the few bytes would all go to one or two tasks; by another key, as Spark drops a repartition by the one it has
+    fps = fps.repartition(n, F.xxhash64("fp"))
     low, high = _masks(range(32), half), _masks(range(32, 64), half)
     part = lambda k, masks: fps.select(
         F.lit(k).alias("half"), "fp", F.explode(_constant(masks)).alias("m")
@@ -104,7 +105,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     pairs = sums.where("n = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v")
     crowd = near.join(sums.where("n > 2").select("half", "key"), ["half", "key"], "left_semi").select("fp").distinct()
     every = _constant(_masks(range(64), radius // 2))
-    ball = crowd.repartition(n, "fp").select("fp", F.explode(every).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
+    ball = crowd.repartition(n, F.xxhash64("fp")).select("fp", F.explode(every).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
     # a key has at most as many members as the ball has points, 2,081
     stars = ball.select(F.first("fp").over(Window.partitionBy("key").orderBy("fp")).alias("u"), F.col("fp").alias("v")).where("u <> v")
     edges = pairs.unionAll(stars).distinct()
