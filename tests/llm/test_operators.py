@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmatch.llm import _common, decontaminate, license_scan, lm_score, packing, quality, registry, simhash_dedup, suffix_dedup, token_counts, token_shards, url_filter
+from quillmatch.llm import _common, decontaminate, license_scan, lm_score, near_dup, packing, quality, registry, simhash_dedup, suffix_dedup, token_counts, token_shards, url_filter
 from quillmatch.llm._graph import components
 from quillmatch.llm._tokens import TOKENIZER, Encoder, encoder, tokenizer_path
 
@@ -372,6 +372,35 @@ def test_links_in_crowds(spark):
         assert {got.get(p, p) for p in members} == {min(members)}
 
 
+def test_near_keep(spark, empty):
+    rng = random.Random(11)
+    own = []
+    for i in range(0, 90, 3):  # a text, a copy with changed words, a text of its own
+        t = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        u = list(t)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 8])):
+            u[at] = f"v{rng.randrange(10**6)}"
+        own += [(i, " ".join(t)), (i + 1, " ".join(u).upper().replace("V", "v")), (i + 2, prose(rng, 40))]
+    base = [f"b{k}" for k in range(150)]
+    for i in range(100, 160):  # a crowd in one bucket whose members are not all alike
+        own.append((i, " ".join(f"z{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base)))
+    own += [(200, "a b"), (201, "A  b"), (202, "a c"), (203, None), (204, ""), (None, own[0][1]), own[5]]
+    sets = []
+    for _, t in own:
+        w = as_bytes(t).lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(own)))
+    for a, b in itertools.combinations(range(len(own)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            up = [up[a] if x == up[b] else x for x in up]
+    best: dict = {}
+    for (key, t), g in zip(own, up, strict=True):
+        best[g] = min(best.get(g, (True, 0, "")), (key is None, key or 0, t or ""))
+    got = near_dup.near_keep(spark.createDataFrame(own, DOCS).repartition(3), ("doc_id", "text"))
+    assert Counter(r.doc_id for r in got.collect()) == Counter(k for _, k, _ in best.values())
+    assert near_dup.near_keep(empty, ("doc_id", "text")).count() == 0
+
+
 def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "u long, v long")
     got = {r.node: r.label for r in components(df).collect()}
