@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from ._udf import arrow
 
 K = 9
-MAX_TOKENS = 100_000
-MAX_POSITIONS = 50_000
 
 _UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, range(0x410, 0x430))) + "ЁІӘҒҚҢӨҰҮҺ" + "İıё"
 _LOW = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0x430, 0x450))) + "еіәғқңөұүһ" + "iiе"
@@ -45,23 +43,23 @@ def tokens(normal: Column) -> Column:
     return F.filter(F.split(normal, " "), lambda w: w != "")
 
 
-def shingle_list(words: str, k: int = K, limit: int = MAX_POSITIONS) -> Column:
+def shingle_list(words: str, k: int = K) -> Column:
     """All k-word windows, in order, of the array column named ``words``."""
     return F.expr(
-        f"case when size({words}) >= {k} then transform(sequence(1, least(size({words}) - {k - 1}, {limit})), i -> array_join(slice({words}, i, {k}), ' ')) else cast(array() as array<string>) end"
+        f"case when size({words}) >= {k} then transform(sequence(1, size({words}) - {k - 1}), i -> array_join(slice({words}, i, {k}), ' ')) else cast(array() as array<string>) end"
     )
 
 
-def shingle_keys(words: str, k: int = K, limit: int = MAX_POSITIONS) -> Column:
+def shingle_keys(words: str, k: int = K) -> Column:
     """64-bit keys of all k-word windows of the array column named ``words``."""
     return F.expr(
-        f"case when size({words}) >= {k} then transform(sequence(1, least(size({words}) - {k - 1}, {limit})), i -> xxhash64(array_join(slice({words}, i, {k}), ' '))) else cast(array() as array<bigint>) end"
+        f"case when size({words}) >= {k} then transform(sequence(1, size({words}) - {k - 1}), i -> xxhash64(array_join(slice({words}, i, {k}), ' '))) else cast(array() as array<bigint>) end"
     )
 
 
 def with_tokens(df: DataFrame, text: str = "text", name: str = "words") -> DataFrame:
-    """df with its tokens, at most MAX_TOKENS, in place of the text."""
-    return once(df, name, F.slice(tokens(normalize(F.col(text))), 1, MAX_TOKENS)).drop(text)
+    """df with its tokens in place of the text."""
+    return once(df, name, tokens(normalize(F.col(text)))).drop(text)
 
 
 # --- other cleaners ------------------------------------------------------------

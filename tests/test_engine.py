@@ -20,6 +20,7 @@ from quillmatch.functions import jsonops as J
 from quillmatch.functions import text as T
 from quillmatch.operators import catalog, index, search, segments
 from quillmatch.plans.config import SearchConfig
+from quillmatch.queries import QUERIES
 from quillmatch.sources import corpus
 from quillmatch.streaming import ingest
 
@@ -47,6 +48,16 @@ def test_shingles(spark):
     assert rows[2].s == [] and rows[3].s == [] and rows[3].n == 0
 
 
+def test_long_text(spark, tmp_path):
+    """Every word and window of a text counts, also beyond 100,000 words."""
+    text = " ".join(f"w{i}" for i in range(100_500))
+    spark.createDataFrame([(1, text), (2, " ".join(text.split()[:50_020]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.tok_len for r in QUERIES["token_counts"](spark, str(tmp_path)).collect()} == {1: 100_500, 2: 50_020}
+    assert len({r.signature_sha1 for r in QUERIES["minhash_signatures"](spark, str(tmp_path)).collect()}) == 2
+    s = index.stats(spark.read.parquet(f"{tmp_path}/documents.parquet")).first()
+    assert s.pairs_before_dedup == 100_492 + 50_012 and s.shingles == 100_492
+
+
 def test_cleaners(spark):
     assert one(spark, T.merge_hyphen_breaks(F.col("t")), t="exam-\n ple") == "example"
     assert one(spark, T.collapse_line_breaks(F.col("t")), t="a\nb\n\nc") == "a b\n\nc"
