@@ -99,10 +99,13 @@ def fuzzy_spans(joined: str, notices: tuple[tuple[str, str], ...] = NOTICES, eve
             else:
                 joint.append([lo, hi])
         for lo, hi in joint:
-            at = max(0, lo)
-            while m := pattern.search(joined, at, min(len(joined), hi)):
-                out.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
-                at = max(m.end(), at + 1)
+            # the best match of a part need not be its first: both sides of it are searched again
+            parts = [(max(0, lo), min(len(joined), hi))]
+            while parts:
+                a, b = parts.pop()
+                if b - a >= len(notices[n][0]) - exact[n][1] and (m := pattern.search(joined, a, b)):
+                    out.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    parts += [(a, m.start()), (m.end(), b)]
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 

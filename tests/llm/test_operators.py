@@ -93,6 +93,13 @@ def test_license_fuzzy():
         assert any(license_scan.NOTICES[f[0]][0] == notice for f in license_scan.fuzzy_spans("aa bb " + "".join(s) + " cc"))
 
 
+def test_license_before_a_better_match():
+    joined = " all right reserved all rights reserved al rights reserved all rights reserved all rights reservd "
+    own = [x for x in license_scan.fuzzy_spans(joined) if x[0] == 0]
+    assert [x[3] for x in own] == [1, 0, 1, 0, 1]
+    assert all(a[2] <= b[1] for a, b in itertools.pairwise(own))
+
+
 def test_url_filter(spark, sf, empty):
     urls = ["http://a.NET/x", "https://example.net/en/1?q#f", "http://x.example.net/en", "ftp://example.com/de/", "nourl", None, "http://", "http://fr.org/fr/2", "http://notexample.com/de/", "http://net/", "http://a.net", "http://EXAMPLE.com:80/de/", "a://b://c.net/", "http://u@m.example.com/de/x#/y", "http://.net/", "http://net./"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])], "page_id long, url string").withColumn("host", F.lit("clash"))
