@@ -265,6 +265,22 @@ def sha1_shingles(s, d):
     return words.select("doc_id", H.sha1_key(F.array_join(F.slice("words", 1, 5), " ")).cast("string").alias("k"))
 
 
+def _windows(s, d, k):
+    """doc_id, position, window: every k-word window of each document."""
+    words = T.with_tokens(_docs(s, d)).where(F.size("words") >= k)
+    return words.select("doc_id", F.posexplode(T.shingle_list("words", k)).alias("position", "window"))
+
+
+def fnv_windows(s, d):
+    """FNV-1a of every shingle of each document."""
+    return _windows(s, d, T.K).select("doc_id", "position", H.fnv1a64("window").alias("h"))
+
+
+def sha1_windows(s, d):
+    """SHA-1 key of every five-word window of each document."""
+    return _windows(s, d, 5).select("doc_id", "position", H.sha1_key(F.col("window")).cast("string").alias("k"))
+
+
 # --- other text functions -------------------------------------------------------------
 
 
@@ -402,7 +418,7 @@ QUERIES = {
         search_segment_profile, search_monolith_profile, norm_text, token_counts, doc_meta, rejected_docs, index_stats, index_validate, shingle_df_histogram,
         seeds_rare_first, seed_budget, candidate_hits, decision_counts, allow_list, exact_duplicates, shard_md5, shard_crc32, l1_assignment, segment_catalog,
         compacted_catalog, catalog_status, shards_to_compact, levels_dense_rank, base_pending, cross_segment_merge, minhash_signatures, lsh_candidates, simhash128,
-        fnv_tokens, sha1_shingles, norm_for_local, pdf_cleanup, alpha_density, nfkc_lower, normalize_wide, html_text, json_pointer, json_keys, json_types, json_valid,
+        fnv_tokens, sha1_shingles, fnv_windows, sha1_windows, norm_for_local, pdf_cleanup, alpha_density, nfkc_lower, normalize_wide, html_text, json_pointer, json_keys, json_types, json_valid,
         json_minify, json_stats, json_msgpack, json_partial, json_top, json_find, json_distinct_ids, json_brand_sum, json_points, utf8_valid, event_window_counts,
         docs_in_labels, docs_not_in_labels, sources_having, newest_by_source,
     )
@@ -440,6 +456,7 @@ select 1 as level, count(*) as segments from p where (pack + 1) * 10 > n_all""",
     "cross_segment_merge": SQL_MERGE,
     "fnv_tokens": SQL_FNV,
     "sha1_shingles": f"{_TOKS} select doc_id, (('0x' || substr(sha1(array_to_string(w[1:5], ' ')), 1, 16))::uhugeint)::varchar as k from t where len(w) >= 5",
+    "sha1_windows": f"{_TOKS}, x as (select doc_id, w, unnest(range(0, len(w) - 4)) as p from t where len(w) >= 5) select doc_id, p::int as position, (('0x' || substr(sha1(array_to_string(w[p + 1:p + 5], ' ')), 1, 16))::uhugeint)::varchar as k from x",
     "norm_for_local": "select doc_id, md5(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-zа-яёіқғңөұүһ0-9ſı ]', ' ', 'g'), ' +', ' ', 'g'))) as h from documents",
     "alpha_density": r"select doc_id, round(case when length(text) > 0 then length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))::double / length(text) else 0 end, 9) as density from documents",
     "json_pointer": "select event_id, (props->>'$.k')::bigint as k, null::bigint as missing from events",

@@ -58,6 +58,16 @@ def test_long_text(spark, tmp_path):
     assert s.pairs_before_dedup == 100_492 + 50_012 and s.shingles == 100_492
 
 
+def test_hashes_of_all_windows(spark, tmp_path):
+    texts = {1: "A b c d e f g h i J k", 2: "a b c d e f g h i x y z", 3: "a b c d e", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = lambda k: {(i, p): " ".join(w[p : p + k]) for i, t in texts.items() for w in [(t or "").lower().split()] for p in range(len(w) - k + 1)}
+    got = {(r.doc_id, r.position): r.h & (1 << 64) - 1 for r in QUERIES["fnv_windows"](spark, str(tmp_path)).collect()}
+    assert got == {at: H.fnv1a64_py(g.encode()) for at, g in cut(9).items()}
+    got = {(r.doc_id, r.position): int(r.k) for r in QUERIES["sha1_windows"](spark, str(tmp_path)).collect()}
+    assert got == {at: int.from_bytes(hashlib.sha1(g.encode()).digest()[:8], "big") for at, g in cut(5).items()}
+
+
 def test_cleaners(spark):
     assert one(spark, T.merge_hyphen_breaks(F.col("t")), t="exam-\n ple") == "example"
     assert one(spark, T.collapse_line_breaks(F.col("t")), t="a\nb\n\nc") == "a b\n\nc"
