@@ -379,6 +379,38 @@ def test_links_in_crowds(spark):
         assert {got.get(p, p) for p in members} == {min(members)}
 
 
+def alike(texts: list[bytes]) -> list[int]:
+    """Groups by links of equal sets of five-word windows, or of a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if up[a] != up[b] and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+            up = [up[a] if x == up[b] else x for x in up]
+    return up
+
+
+@pytest.mark.parametrize("limit", [300, 1 << 16])
+def test_near_blocks(spark, limit):
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(60)]
+    texts = [" ".join(f"z{rng.randrange(10**6)}" if rng.random() < p else w for w in base) for p in (0.01, 0.02, 0.04, 0.3) for _ in range(12)]
+    df = spark.createDataFrame([(i, 56, key, i, 0) for i in range(len(texts)) for key in (1, 2)], "s long, size long, key long, label long, own long")
+    own = spark.createDataFrame(list(enumerate(texts)), "s long, text string")
+    sets = [set(near_dup.shingles(t.encode()).tolist()) for t in texts]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(min(r), max(r)) for r in near_dup._apart(df, own, 5, 0.8, limit).collect()} == want and want
+
+
+def test_near_overlaps(monkeypatch):
+    monkeypatch.setattr(near_dup, "_COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 40), (1, 30, 20, 9)))
+    assert near_dup._overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
 def test_near_keep(spark, empty):
     rng = random.Random(11)
     own = []
@@ -392,18 +424,12 @@ def test_near_keep(spark, empty):
     for i in range(100, 160):  # a crowd in one bucket whose members are not all alike
         own.append((i, " ".join(f"z{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base)))
     own += [(200, "a b"), (201, "A  b"), (202, "a c"), (203, None), (204, ""), (None, own[0][1]), own[5]]
-    sets = []
-    for _, t in own:
-        w = as_bytes(t).lower().split()
-        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    up = list(range(len(own)))
-    for a, b in itertools.combinations(range(len(own)), 2):
-        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-            up = [up[a] if x == up[b] else x for x in up]
+    up = alike([as_bytes(t) for _, t in own])
     best: dict = {}
     for (key, t), g in zip(own, up, strict=True):
         best[g] = min(best.get(g, (True, 0, "")), (key is None, key or 0, t or ""))
-    got = near_dup.near_keep(spark.createDataFrame(own, DOCS).repartition(3), ("doc_id", "text"))
+    df = spark.createDataFrame(own, DOCS).repartition(3)
+    got = near_dup.near_keep(df, ("doc_id", "text"))
     assert Counter(r.doc_id for r in got.collect()) == Counter(k for _, k, _ in best.values())
     assert near_dup.near_keep(empty, ("doc_id", "text")).count() == 0
 
@@ -630,10 +656,11 @@ def test_pipeline(spark, sf):
     own = [r for r in own if verdict[r[0]]]
     assert bag(step) == Counter(own)
     step = _common.stash(p.near_duplicates(spark, step, sf), "t")
-    own = [own[i] for i in sorted(set(groups([plain_print(r[1].encode()) for r in own])))]
+    label = alike([r[1].encode() for r in own])
+    own = [own[i] for i in sorted({g: min((own[k][0], k) for k in range(len(own)) if label[k] == g)[1] for g in set(label)}.values())]
     assert bag(step) == Counter(own)
     step = _common.stash(p.repeated_strings(spark, step, sf), "t")
-    cut = removed([r[1].encode() for r in own], 400)
+    cut = removed([r[1].encode() for r in own], p.REPEATED_BYTES)
     own = [(r[0], x[3].decode(errors="ignore") if x[1] else r[1], r[2], r[3]) for r, x in zip(own, cut, strict=True)]
     got = step.collect()
     assert all(r.n_chars == len(r.text) for r in got)
