@@ -1,9 +1,8 @@
-"""Token ids of whole blocks of texts.
+"""Token ids of texts.
 
-The byte-level BPE never merges across pre-tokens, and a space that stands
-before a non-space character always begins a pre-token. So a text may be cut
-there, each distinct word of a block is encoded once, and the ids of all texts
-are gathered with array operations. The result equals encoding each text whole.
+The byte-level BPE never merges across pre-tokens, and a space between two
+characters that are not white space always begins a pre-token. So a long text
+may be cut there, and the result equals encoding the text whole.
 """
 
 from __future__ import annotations
@@ -11,22 +10,16 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-
-from ._common import ragged
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words that a worker remembers; the memory starts anew beyond that.
-REMEMBER = 500_000
-_CUT = re.compile(r" (?=\S)")
+#: Characters of a text that are encoded at once, up to the next sure cut.
+PART = 1 << 18
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The pre-tokens of the byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space before white space or the end, for RE2.
-_ODD = r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -55,92 +48,31 @@ class Encoder:
             vocab = json.load(f)["model"]["vocab"]
         back = {c: b for b, c in _byte_chars().items()}
         ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token)}
-        # the same vocabulary, merges in the order of ids: 3 times as fast for single words
+        # the same vocabulary, merges in the order of ids
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t != b"<|endoftext|>"}, special_tokens={}).encode_ordinary
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lens = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
-        self.store, self.used = np.zeros(1 << 18, dtype=np.int32), 0
-
-    def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            ids = list(map(self.encode, part))
-            lens = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lens.sum()))
-            first, need = len(self.known), len(self.known) + len(part)
-            if need > len(self.starts):
-                grown = max(need, 2 * len(self.starts))
-                self.starts, self.lens = np.resize(self.starts, grown), np.resize(self.lens, grown)
-            if self.used + len(flat) > len(self.store):
-                self.store = np.resize(self.store, max(self.used + len(flat), 2 * len(self.store)))
-            self.store[self.used : self.used + len(flat)] = flat
-            self.starts[first:need] = self.used + np.cumsum(lens) - lens
-            self.lens[first:need] = lens
-            self.used += len(flat)
-            self.known.update(zip(part, range(first, need), strict=True))
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of distinct words, learning those that are new."""
-        get = self.known.get
-        out = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            first = len(self.known)
-            self._learn([words[i] for i in new])
-            out[new] = np.arange(first, first + len(new))
-        return out
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of one text, encoded in parts of bounded size."""
+        if len(text) <= PART:
+            return np.array(self.encode(text), dtype=np.int32)
+        parts, at = [], 0
+        while len(text) - at > PART:
+            cut = _CUT.search(text, at + PART)
+            if cut is None:
+                break
+            parts.append(np.array(self.encode(text[at : cut.start()]), dtype=np.int32))
+            at = cut.start()
+        return np.concatenate([*parts, np.array(self.encode(text[at:]), dtype=np.int32)])
 
     def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts after another, number of ids of each); a null is the empty text."""
-        if len(self.known) > REMEMBER:
-            self._forget()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
-        if not n:
-            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        # a cut before another space or a line break would split a run of white space
-        odd = np.asarray(pc.match_substring_regex(texts, _ODD))
-        if odd.any():
-            order = np.argsort(odd, kind="stable")
-            (a, la), (b, lb) = self._gather(pc.split_pattern(texts.filter(pa.array(~odd)), " ")), self._gather(pa.array([_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], type=pa.large_list(pa.large_string())))
-            ids, lens = np.concatenate([a, b]), np.concatenate([la, lb])
-            back = np.argsort(order, kind="stable")
-            return ids[ragged((np.cumsum(lens) - lens)[back], lens[back])], lens[back]
-        return self._gather(pc.split_pattern(texts, " "))
-
-    def _gather(self, cut: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The same for lists of words."""
-        if not len(cut):
-            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        offsets = np.asarray(cut.offsets, dtype=np.int64)
-        offsets = offsets - offsets[0]
-        flat = cut.flatten()
-        coded = flat.dictionary_encode()
-        index = np.asarray(coded.indices).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        bare = np.zeros(len(index), dtype=bool)  # a text's first word has no space before it
-        bare[offsets[:-1]] = True
-        heads = index[bare]
-        spaced = np.zeros(len(words), dtype=bool)
-        spaced[index[~bare]] = True
-        at = np.full(len(words), -1, dtype=np.int64)
-        some = np.flatnonzero(spaced)
-        at[some] = self._numbers([" " + words[i] for i in some])
-        number = at[index]
-        few = np.unique(heads)
-        at[few] = self._numbers([words[i] for i in few])
-        number[bare] = at[heads]
-        lens = self.lens[number]
-        ids = self.store[ragged(self.starts[number], lens)]
-        ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
-        return ids, ends[offsets[1:]] - ends[offsets[:-1]]
+        own = [self.ids(t or "") for t in texts.to_pylist()]
+        lens = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        return (np.concatenate(own) if own else np.zeros(0, dtype=np.int32)), lens
 
     def counts(self, texts: list[str]) -> list[int]:
         """Number of ids of each text."""
-        return self.block(pa.array(texts, type=pa.large_string()))[1].tolist()
+        return [len(self.encode(t)) if len(t) <= PART else len(self.ids(t)) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmatch.llm import _common, decontaminate, license_scan, lm_score, near_dup, packing, quality, registry, simhash_dedup, suffix_dedup, token_counts, token_shards, url_filter
+from quillmatch.llm import _common, _tokens, decontaminate, license_scan, lm_score, near_dup, packing, quality, registry, simhash_dedup, suffix_dedup, token_counts, token_shards, url_filter
 from quillmatch.llm._graph import components
 from quillmatch.llm._tokens import TOKENIZER, Encoder, encoder, tokenizer_path
 
@@ -143,6 +143,18 @@ def test_encoder(texts):
     assert ids.tolist() == [x for w in want for x in w]
 
 
+@given(st.text(alphabet="ab '.,\n\té9", max_size=200))
+@settings(max_examples=60, deadline=None)
+def test_encoder_in_parts(text):
+    code = encoder(TOKENIZER)
+    _tokens.PART, whole = 10, _tokens.PART
+    try:
+        parts = code.ids(text).tolist()
+    finally:
+        _tokens.PART = whole
+    assert parts == code.encode(text)
+
+
 def test_encoder_on_documents(sf):
     from tokenizers import Tokenizer
 
