@@ -231,19 +231,47 @@ def test_permutation(n, key):
 
 
 def test_shards(spark, docs, rows, tmp_path, empty):
-    path = str(tmp_path / "s")
+    path, size = str(tmp_path / "s"), token_shards.stride(64)
     n = token_shards.write_shards(docs, path, length=64, per_shard=8)
-    got = token_shards.read_shards(spark, path).collect()
+    read = lambda at: sorted(token_shards.read_shards(spark, path, at, 64, 8).collect(), key=lambda r: r.slot)
+    got = read(0)
     assert [r.slot for r in got] == list(range(n)) and sorted(r.sequence_id for r in got) == list(range(n))
-    assert all(len(r.payload) == 128 and r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * 128 for r in got)
+    assert [token_shards.permute(np.array([r.sequence_id]), n)[0] for r in got] == list(range(n))
+    assert all(len(r.payload) == 128 and r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * size for r in got)
     code = encoder(TOKENIZER)
     stream = Counter(x for r in got for x in np.frombuffer(bytes(r.payload), dtype="<u2")[: r.n_tokens].tolist())
     want = Counter(x for _, t in rows for x in [*code.block(pa.array([t or ""]))[0].tolist(), 1])
     assert stream == want
-    assert [r.slot for r in token_shards.read_shards(spark, path, n - 3).collect()] == [n - 3, n - 2, n - 1]
+    assert [r.slot for r in read(n - 3)] == [n - 3, n - 2, n - 1]
+    # a plain file each, read by seeking
+    files = {int(f.parent.name[5:]) + int(f.name[5:10]): f for f in tmp_path.glob("s/from=*/part-*")}
+    assert sorted(files) == list(range(-(-n // 8))) and sum(f.stat().st_size for f in files.values()) == n * size
+    for r in got[:: max(1, n // 9)]:
+        with files[r.shard].open("rb") as f:
+            f.seek(r.byte_offset)
+            raw = f.read(size)
+        head = np.frombuffer(raw[:47], dtype=token_shards.HEADER)[0]
+        assert (head["slot"], head["sequence"], raw[47:-1], raw[-1:]) == (r.slot, r.sequence_id, bytes(r.payload), b"\n")
     assert token_shards.write_shards(empty, str(tmp_path / "e")) == 0
 
 
+def test_shards_keep_the_order(spark, rows, tmp_path):
+    one = spark.createDataFrame([(2**61 + 1 if k == 7 else k, t) for k, t in rows], DOCS).coalesce(1)
+    n = token_shards.write_shards(one, str(tmp_path / "o"), length=32, per_shard=16)
+    got = sorted(token_shards.read_shards(spark, str(tmp_path / "o"), 0, 32, 16).collect(), key=lambda r: r.sequence_id)
+    stream = [x for r in got for x in np.frombuffer(bytes(r.payload), dtype="<u2")[: r.n_tokens].tolist()]
+    code, want, owner = encoder(TOKENIZER), [], []
+    for k, (_, t) in enumerate(rows):
+        ids = [*code.block(pa.array([t or ""]))[0].tolist(), 1]
+        want += ids
+        owner += [k] * len(ids)
+    assert stream == want and len(got) == n
+    key = [2**61 + 1 if k == 7 else k for k, _ in rows]
+    for i, r in enumerate(got):
+        a, b = owner[32 * i], owner[min(32 * i + 31, len(owner) - 1)]
+        assert (r.first_doc, r.last_doc, r.n_docs) == (key[a], key[b], b - a + 1)
+
+
 @given(st.text(alphabet="ab é\n.", max_size=120), st.lists(st.tuples(st.integers(0, 130), st.integers(0, 12), st.text(alphabet="ab é\n.", max_size=9)), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_edits(text, edits):
