@@ -602,21 +602,52 @@ def plain_tree(data: list[bytes], depth: int):
     return grams, lambda g: -sum(math.log2(p_bit(g[:-1], f"{g[-1]:08b}"[:j], int(f"{g[-1]:08b}"[j]))) for j in range(8))
 
 
-def test_context_tree():
-    data, depth = [b"abracadabra", b"abra cadabra abba", b""], 2
+@pytest.mark.parametrize("depth", [2, 3])
+def test_context_tree(spark, depth):
+    data = [b"abracadabra", b"abra cadabra abba", b""]
     grams, bits = plain_tree(data, depth)
-    tables = []
-    for d in range(depth + 1):
-        c: Counter = Counter()
-        for g, n in grams.items():
-            c[int.from_bytes(g[depth - d :], "big")] += n
-        tables.append((np.array(sorted(c)), np.array([c[k] for k in sorted(c)])))
-    model = lm_score.Model(tables)
+    number = lambda g: int.from_bytes(g, "big")
+    contexts = [bytes(depth - 2) + c for c in (b"ab", b"zz", b"xa", b"\0\0", b"\0a")] + [b"abra"[:depth]]
+    every = [c + bytes([b]) for c in contexts for b in range(256)]
+    seen = spark.createDataFrame([(number(g), n, n) for g, n in grams.items()] + [(number(g), 0, 1) for g in every if g not in grams], "gram long, n long, m long")
+    got = {r.gram: r.cost for r in lm_score.gram_costs(seen.repartition(3), depth).collect()}
     for g in grams:
-        assert model.bits(np.array([int.from_bytes(g, "big")]))[0] == pytest.approx(bits(g), rel=1e-5)
-    for context in (b"ab", b"zz", b"xa", b"\0\0"):  # all bytes together have probability one
-        every = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
-        assert np.exp2(-model.bits(every)).sum() == pytest.approx(1, abs=1e-4)
+        assert got[number(g)] == pytest.approx(bits(g), rel=1e-5)
+    for c in contexts:  # all bytes together have probability one
+        assert sum(2 ** -got[number(c + bytes([b]))] for b in range(256)) == pytest.approx(1, abs=1e-4)
+
+
+def test_subtrees_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    keys = sorted({rng.randrange(1 << 26) & 0x30303FF for _ in range(900)})
+    df = spark.createDataFrame([(k, 1 + k % 5) for k in keys], "gram long, n long").repartition(2)
+    monkeypatch.setattr(lm_score, "_SUBTREES", 50)
+    one = lambda g, n: pa.record_batch([pa.array([len(g)]), pa.array([sum(set(((g >> 8) & 0xFFFF).tolist()))])], names=["n", "s"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = lm_score._subtrees(df, one, "n long, s long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r.n for r in got) == len(keys) and len(got) > 3
+    assert sum(r.s for r in got) == sum({(k >> 8) & 0xFFFF for k in keys})  # no subtree is cut in two
+
+
+def test_lookup():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    table = lm_score.Lookup(keys[::2], (keys[::2] % 97).astype(np.float32))
+    got, known = table.get(keys)
+    assert known[::2].all() and not known[1::2].any() and (got[::2] == keys[::2] % 97).all()
+    assert not lm_score.Lookup(keys[:0], np.zeros(0, np.float32)).get(keys)[1].any()
+
+
+def test_lm_frequent_grams(docs):
+    """What is looked up in the tasks changes no score."""
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.base_score)
+    every, few, none = (sorted(lm_score.lm_score(docs, frequent_grams=n).collect(), key=key) for n in (1 << 20, 40, 0))
+    for a, b, c in zip(every, few, none, strict=True):
+        assert a.score == pytest.approx(b.score, rel=1e-6) and a.score == pytest.approx(c.score, rel=1e-6)
+        assert a.bits_per_byte > 0
 
 
 def test_lm_learns(spark):
