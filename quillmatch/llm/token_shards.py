@@ -40,8 +40,8 @@ from ._tokens import TOKENIZER, encoder
 
 LENGTH = 2048
 END = 1
-#: Records of a shard: about 32 MB.
-PER_SHARD = 8192
+#: Records of a shard: about 16 MB, which a task reads at once.
+PER_SHARD = 4096
 ROUNDS = 2
 KEY = 0x5EED
 HEADER = np.dtype([("slot", "<i8"), ("sequence", "<i8"), ("first", "<i8"), ("last", "<i8"), ("n_tokens", "<i4"), ("n_docs", "<i4"), ("null", "u1"), ("spare", "V6")])
