@@ -241,7 +241,7 @@ def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(k1, k2, s, e): spans of repeated strings; docs has k1, k2 and text. A span may come more than once."""
+    """(k1, k2, s, e): spans of repeated strings; docs has k1, k2 and text. Spans may overlap; repeated rows have theirs once."""
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -255,20 +255,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     anchors = contents.groupBy("mh").agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where("all > 1")
     known = contents.join(anchors, "mh").select("mh", "ch", F.expr("c > 1").alias("whole"), F.expr("kinds > 1").alias("several"), F.expr(f"kinds > {crowd}").alias("crowded"), "one")
     found = all_runs.join(known, ["mh", "ch"]).select("k1", "k2", "lo", "n", "mh", "whole", "crowded", (F.col("several") & (own == F.col("one"))).alias("ship"))
-    found = stash(found.where("whole or ship"), "found")
+    found = stash(found.where("whole or ship").distinct(), "found")  # repeated rows have the same runs
 
     ship = found.where("ship").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "mh", "crowded")).alias("runs"))  # runs of one text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for block in blocks(batches):
             for k1, k2, text, own_runs in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), raw(block.column(2)), block.column(3).to_pylist(), strict=True):
-                rows = []
+                if (k1, k2) == last:  # the merge join brings repeated rows after another
+                    continue
+                last, rows = (k1, k2), []
                 for r in own_runs:
                     part = text[r["lo"] : r["lo"] + r["n"] - 1 + length]
                     rows.append((r["mh"], r["crowded"], k1, k2, r["lo"], anchor_place(part, r["mh"], r["n"], gram) if r["crowded"] else None, part))
                 yield record(_SLICES, *(list(c) for c in zip(*rows, strict=True)))
 
-    slices = stash(docs.join(ship, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(cut, _SLICES_DDL), "slices")
+    slices = stash(docs.hint("merge").join(ship, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(cut, _SLICES_DDL), "slices")
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []

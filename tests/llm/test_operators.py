@@ -340,6 +340,22 @@ def test_suffix_dedup(docs, rows, length, gram, crowd):
     assert got == want
 
 
+def test_suffix_repeated_rows(spark):
+    """Spans of a text stand once, however often its row is repeated."""
+    rng = random.Random(8)
+    shared = prose(rng, 90)
+    texts = [(1, shared + prose(rng, 60))] * 200 + [(2, shared + prose(rng, 50)), (3, prose(rng, 40) + shared)]
+    df = spark.createDataFrame(texts, DOCS).repartition(5)
+    spans = suffix_dedup.repeated_spans(df.withColumns({"k1": F.col("doc_id"), "k2": F.col("doc_id")}), 100, 32).count()
+    assert spans < 150
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(df, 100, 32).collect())
+    plain = removed([as_bytes(t) for _, t in [texts[0], *texts[-3:]]], 100)  # two copies stand for all
+    want: Counter = Counter()
+    for (key, _), x, n in zip([texts[0], *texts[-2:]], [plain[0], *plain[-2:]], (200, 1, 1), strict=True):
+        want[key, *x] += n
+    assert got == want
+
+
 def test_suffix_empty(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
