@@ -1,16 +1,19 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints that differ in at most R bits have a common variant within
-R/2 bits of each. Emitting all variants of 64 bits for R = 4 makes 2,081 rows
-for every fingerprint, so they are emitted in two steps that lose no link:
-
-1. Of the two 32-bit halves, one differs in at most 2 bits (pigeonhole). Every
-   distinct fingerprint emits the 33 variants within 1 bit of each half. Rows
-   meet on (half, variant). A bucket with two fingerprints gives one pair,
-   which is verified on all 64 bits.
-2. Fingerprints in a bucket of three or more emit all 2,081 variants within 2
-   bits. Members of such a bucket differ in at most 4 bits by construction, so
-   a star from the smallest member replaces the pairs of the group.
+ceil(R/2) bits of each. Emitting all variants of 64 bits for R = 4 makes 2,081
+rows for every fingerprint, some ten times the input's bytes, so the balls are
+emitted in two steps that lose no link:
+
+1. Of the two 32-bit halves, one differs in at most floor(R/2) bits
+   (pigeonhole). Every distinct fingerprint emits the variants of each half
+   within half of that, rounded up: 66 for R = 4. Rows meet on (half, variant).
+   A bucket with two fingerprints gives one pair, which is verified on all 64
+   bits.
+2. Fingerprints in a bucket of three or more emit all variants of 64 bits within
+   ceil(R/2). Two of a bucket link if one of them is within floor(R/2) of the
+   variant: a star from the smallest such member replaces the pairs of the
+   group, and each of its links differs in at most R bits by construction.
 
 A link met in a crowded bucket of step 1 has both its ends in step 2; any other
 is verified in step 1. Exact copies are one fingerprint throughout; crowds cost
@@ -36,8 +39,12 @@ from ._common import blocks, drop_stash, partitions, pick, raw, record, stash, t
 from ._graph import components
 
 RADIUS = 4
+#: The largest radius; its balls have 679,121 points.
+MOST = 8
 WORDS = 4
 SEED = 42
+#: A fingerprint is common if it has this share of the rows or more.
+COMMON = 1 / 1000
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -92,8 +99,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     ``fps`` has the column fp without repeats.
     """
-    half, n = radius // 4, partitions(fps.sparkSession)
-    # 66 rows come of each, and the few bytes would all go to one or two tasks; by another key, as Spark drops a repartition by the one it has
+    if not 0 <= radius <= MOST:
+        raise ValueError(f"radius must be 0 to {MOST}")
+    half, n = -(-(radius // 2) // 2), partitions(fps.sparkSession)
+    # many rows come of each, and the few bytes would all go to one or two tasks; by another key, as Spark drops a repartition by the one it has
     fps = fps.repartition(n, F.xxhash64("fp"))
     low, high = _masks(range(32), half), _masks(range(32, 64), half)
     part = lambda k, masks: fps.select(
@@ -104,10 +113,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     sums = stash(sums, "halves")
     pairs = sums.where("n = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v")
     crowd = near.join(sums.where("n > 2").select("half", "key"), ["half", "key"], "left_semi").select("fp").distinct()
-    every = _constant(_masks(range(64), radius // 2))
-    ball = crowd.repartition(n, F.xxhash64("fp")).select("fp", F.explode(every).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
-    # a key has at most as many members as the ball has points, 2,081
-    stars = ball.select(F.first("fp").over(Window.partitionBy("key").orderBy("fp")).alias("u"), F.col("fp").alias("v")).where("u <> v")
+    every = _constant(_masks(range(64), -(-radius // 2)))
+    ball = crowd.repartition(n, F.xxhash64("fp")).select("fp", F.explode(every).alias("m"))
+    ball = ball.select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"), (F.bit_count("m") > radius // 2).alias("far"))
+    # a key has at most as many members as the ball has points
+    center = F.first(F.struct("fp", "far")).over(Window.partitionBy("key").orderBy("far", "fp"))
+    stars = ball.select(center.alias("u"), F.col("fp").alias("v")).where("not u.far and u.fp <> v").select("u.fp", "v").toDF("u", "v")
     edges = pairs.unionAll(stars).distinct()
     # the smallest neighbour below v takes over v's other links: in a crowd most of them become equal
     low = F.first("u").over(Window.partitionBy("v").orderBy("u"))
@@ -115,12 +126,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _named(own: DataFrame, head, radius: int) -> DataFrame:
-    """(fp, head, component_id): the least head of each fingerprint and of its component."""
-    heads = own.groupBy("fp").agg(F.min(head).alias("head"))
+    """(fp, head, n, component_id): the least head of each fingerprint, its rows, and the least head of its component."""
+    heads = own.groupBy("fp").agg(F.min(head).alias("head"), F.count("*").alias("n"))
     edges = stash(links(heads.select("fp"), radius), "links")
     linked = heads.join(components(edges).withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("label").agg(F.min("head").alias("component_id"))
-    names = heads.join(linked.join(least, "label").select("fp", "component_id"), "fp", "left").select("fp", "head", F.coalesce("component_id", "head").alias("component_id"))
+    names = heads.join(linked.join(least, "label").select("fp", "component_id"), "fp", "left").select("fp", "head", "n", F.coalesce("component_id", "head").alias("component_id"))
     drop_stash(edges)
     return names
 
@@ -128,8 +139,14 @@ def _named(own: DataFrame, head, radius: int) -> DataFrame:
 def simhash_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     own = stash(fingerprints(docs, words, seed), "fingerprints")
-    names = _named(own, F.col("doc_id"), radius).select("fp", "component_id")
-    return own.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = stash(_named(own, F.col("doc_id"), radius).select("fp", "n", "component_id"), "names")
+    total = names.agg(F.sum("n")).first()[0] or 0
+    common = names.where(F.col("n") >= max(1, total * COMMON))  # at most 1 / COMMON rows
+    cold = names.where(F.col("n") < max(1, total * COMMON))
+    # rows of common fingerprints stay where they are
+    hot = own.join(F.broadcast(common.drop("n")), "fp")
+    rest = own.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(cold.drop("n"), "fp")
+    return hot.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_keep(docs: DataFrame, columns: tuple[str, ...], words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:

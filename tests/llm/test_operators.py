@@ -413,6 +413,28 @@ def test_simhash(docs, rows, empty):
     assert {r.doc_id for r in kept} == set(least.values())
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 5, 6])
+def test_links_of_each_radius(spark, radius):
+    rng = random.Random(radius)
+    prints = {0, 1 | 1 << 32, 7, 7 << 32, 1, (1 << 64) - 1}
+    for _ in range(4):
+        center = rng.getrandbits(64)
+        for _ in range(6):
+            p = center
+            for b in rng.sample(range(64), rng.randint(0, radius + 1)):
+                p ^= 1 << b
+            prints.add(p)
+    own = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in own]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    got = {r.node: r.label for r in components(simhash_dedup.links(df, radius)).collect()}
+    by: dict = {}
+    for p, g in zip(signed, groups(own, radius), strict=True):
+        by.setdefault(g, []).append(p)
+    for members in by.values():
+        assert {got.get(p, p) for p in members} == {min(members)}
+
+
 def test_links_in_crowds(spark):
     rng = random.Random(6)
     prints = {rng.getrandbits(64) for _ in range(200)}
