@@ -4,7 +4,7 @@ Every notice may have up to k edits. By the pigeonhole principle one of its
 k+1 pieces stands unchanged wherever the notice occurs, so an automaton over
 all pieces finds every candidate place; the ``regex`` library's bounded-error
 matching then verifies the edits in a window around the piece and reports the
-span. The scan is map-only: no shuffle, one block of texts in memory.
+span, which begins and ends with whole words. The scan is map-only: no shuffle, one block of texts in memory.
 
 Defined results: a null text counts as empty; an empty text has no words and
 score 0; repeated rows give repeated results; null ids pass through; other
@@ -13,6 +13,7 @@ columns of the input are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -69,7 +70,7 @@ def _scanner(notices: tuple[tuple[str, str], ...], every: int):
     exact = []
     for n, (notice, _) in enumerate(notices):
         k = max(1, len(notice) // every)
-        exact.append((regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}"), k))
+        exact.append((regex.compile(f"(?b)(?<= )(?:{regex.escape(notice)}){{e<={k}}}(?= )"), k))
         for at, piece in pieces(notice, k):
             found.setdefault(piece, []).append((n, at))
     auto = ahocorasick.Automaton()
@@ -80,14 +81,14 @@ def _scanner(notices: tuple[tuple[str, str], ...], every: int):
 
 
 def fuzzy_spans(joined: str, notices: tuple[tuple[str, str], ...] = NOTICES, every: int = EDIT_EVERY) -> list[tuple[int, int, int, int]]:
-    """(notice index, start, end, edits) of verified matches in space-joined words."""
+    """(notice index, start, end, edits) of verified matches of whole words; joined has a space before each word and at the end."""
     auto, exact = _scanner(tuple(notices), every)
     windows: dict[int, list[tuple[int, int]]] = {}
     for end, (size, where) in auto.iter(joined):
         for n, at in where:
             k = exact[n][1]
             lo = end + 1 - size - at - k
-            hi = lo + len(notices[n][0]) + 2 * k
+            hi = lo + len(notices[n][0]) + 2 * k + 1  # with the space behind
             windows.setdefault(n, []).append((lo, hi))
     out = []
     for n, own in windows.items():
@@ -129,8 +130,10 @@ def scan_text(text: bytes, base=BASE, notices=NOTICES, every: int = EDIT_EVERY)
             starts += own
             labels.add(label)
     spans, best = [], 1.0 if starts else 0.0
-    for n, a, b, edits in fuzzy_spans(joined, notices, every):
-        spans.append({"label": notices[n][1], "first_word": max(0, joined.count(" ", 0, a + 1) - 1), "last_word": max(0, joined.count(" ", 0, max(a + 1, b - 1)) - 1), "edits": edits, "found": joined[a:b]})
+    found = fuzzy_spans(joined, notices, every)
+    spaces = [i for i, c in enumerate(joined) if c == " "] if found else []
+    for n, a, b, edits in found:
+        spans.append({"label": notices[n][1], "first_word": bisect_right(spaces, a) - 1, "last_word": bisect_right(spaces, b - 1) - 1, "edits": edits, "found": joined[a:b]})
         best = max(best, 1.0 - edits / len(notices[n][0]))
     every_label = labels | {s["label"] for s in spans}
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(every_label)), best, spans

@@ -93,6 +93,40 @@ def test_license_fuzzy():
         assert any(license_scan.NOTICES[f[0]][0] == notice for f in license_scan.fuzzy_spans("aa bb " + "".join(s) + " cc"))
 
 
+def test_license_words():
+    for text in ("casino rights reserved", "volcano rights reserved", "no rights reservedly so", "overall rights reserved"):
+        assert license_scan.scan_text(text.encode())[5] in ("", "reserved" * text.startswith("overall"))
+    assert license_scan.scan_text(b"no rights reserved")[5] == "cc0"
+    words = "alpha beta all right reserved no rights reserved gnu genral public license end".split()
+    spans = license_scan.scan_text(" ".join(words).encode())[7]
+    assert [(s["label"], s["first_word"], s["last_word"], s["edits"]) for s in spans] == [("reserved", 2, 4, 1), ("cc0", 5, 7, 0), ("gpl", 8, 11, 1)]
+
+
+@given(st.lists(st.sampled_from("all rights reserved al right no reservd license x".split()), max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_license_places(words):
+    """Every place within the edits that stands alone is found, and nothing beyond them."""
+    notices = (("all rights reserved", "r"),)
+
+    def edits(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    spans = license_scan.scan_text(" ".join(words).encode(), (), notices)[7]
+    for s in spans:
+        assert edits(s["found"], notices[0][0]) == s["edits"] <= 1
+        assert s["found"].split() == words[s["first_word"] : s["last_word"] + 1]
+    covered = {k for s in spans for k in range(s["first_word"], s["last_word"] + 1)}
+    for i in range(len(words) - 2):
+        if edits(" ".join(words[i : i + 3]), notices[0][0]) <= 1:
+            assert covered & {i, i + 1, i + 2}
+
+
 def test_license_before_a_better_match():
     joined = " all right reserved all rights reserved al rights reserved all rights reserved all rights reservd "
     own = [x for x in license_scan.fuzzy_spans(joined) if x[0] == 0]
