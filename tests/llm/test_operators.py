@@ -763,6 +763,43 @@ def test_slot_conflicts(spark):
     assert [r.doc_id for r in got] == [1]
 
 
+def test_runs_and_short_items(spark):
+    item = "The courier rode to New York with twenty one letters before Anna Lena paid 30 euros for the long way back to town"
+    again = item.replace("New York", "Paris").replace("twenty one", "7").replace("Anna Lena", "Tom").replace("30", "one hundred and five".replace(" and", ""))
+    docs = [(1, again), (2, "He asked: what is 12 times 7? Nobody knew."), (3, "He asked: what is 13 times 7? Nobody knew."), (4, "we saw Rome and Paris"), (5, None), (6, "we saw")]
+    bench = [(1, item), (2, "what is 12 times 7?"), (3, "we saw Paris and Rome"), (4, "we saw")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
+def test_reparameterised_items(spark, sf):
+    """Other figures, names and units in every item: all are found, and no text without an item."""
+    rng = random.Random(12)
+    nouns = "driver farmer baker train garden river market teacher window letter engine bottle basket bridge ladder".split()
+    verbs = "carries sells finds moves paints counts repairs collects divides measures".split()
+    names = "Anna Boris Clara David Emma Frank Greta Hugo".split() + ["New York", "San Marino", "Paris", "Oslo"]
+
+    def item(words: list[str], slots: list[str]) -> str:
+        return " ".join(w if w != "#" else slots.pop(0) for w in words)
+
+    bench, docs = [], []
+    for k in range(60):
+        words = ["the", rng.choice(nouns)]
+        while len(words) < 30:
+            words += [rng.choice(verbs), "the", rng.choice(nouns), rng.choice(["near", "behind", "after", "without"]), "#", "and"]
+        n = words.count("#")
+        one = [rng.choice([str(rng.randrange(2, 900)), rng.choice(names)]) for _ in range(n)]
+        other = {x: rng.choice(names) if x[0].isalpha() else rng.choice([str(rng.randrange(2, 900)), "forty two"]) for x in one}
+        two = [other[x] for x in one]  # a value of the item stands for one value of the text
+        bench.append((k, item(words, one)))
+        docs.append((k, prose(rng, 30) + " " + item(words, two) + " " + prose(rng, 20)))
+    docs += [(1000 + k, prose(rng, 120)) for k in range(100)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    found = {d for d, i in got if d == i}
+    assert len(found) >= 0.9 * 60, len(found)
+    assert not [d for d, _ in got if d >= 1000]
+
+
 def test_planted_items(spark, sf):
     got = bag(registry.QUERIES["op6_decontaminate"](spark, sf).select("doc_id", "item_id"))
     want = duckdb.execute(f"select doc_id, item_id from '{sf}/documents.parquet' d join '{sf}/benchmark.parquet' b on contains(d.text, b.text)").fetchall()
