@@ -5,7 +5,10 @@ A host becomes its labels in reverse order, each followed by a dot
 then covers one interval of keys, and such intervals are nested or disjoint.
 Pages are dealt to ranges of (key, salt), so that a hot host spreads over
 several ranges; a rule goes to each range that its interval touches. One sweep
-over a sorted range keeps the stack of rules whose intervals are open.
+over a sorted range keeps the stack of hosts whose intervals are open. A rule's
+path holds below all subdomains of its host, which is no interval of keys, so
+paths are no part of the key; each open host finds its longest fitting path by
+the lengths of its paths.
 
 Only the borders of the ranges come from a sample, as in Spark's own range
 partitioning; every page and every rule is judged.
@@ -52,26 +55,31 @@ def host_key(host):
 
 
 class Stack:
-    """Rules whose intervals are open at the sweep's present key."""
+    """Hosts with rules whose intervals are open at the sweep's present key."""
 
     def __init__(self, rules: list[tuple[str, str, str, str]]):
-        self.rules, self.at, self.open = sorted(rules), 0, []
+        hosts: dict[str, tuple[str, dict[str, str]]] = {}
+        for lo, host, path, verdict in rules:
+            paths = hosts.setdefault(lo, (host, {}))[1]
+            paths[path] = "block" if "block" in (verdict, paths.get(path)) else verdict
+        # the paths of a host by their lengths, longest first: a page tries each length once, however many paths there are
+        self.hosts = [(lo, host, paths, sorted({len(p) for p in paths}, reverse=True)) for lo, (host, paths) in sorted(hosts.items())]
+        self.at, self.open = 0, []
 
     def best(self, key: str, path: str) -> tuple[str, str] | None:
-        while self.at < len(self.rules) and self.rules[self.at][0] <= key:
-            rule = self.rules[self.at]
-            while self.open and not rule[0].startswith(self.open[-1][0]):
+        while self.at < len(self.hosts) and self.hosts[self.at][0] <= key:
+            own = self.hosts[self.at]
+            while self.open and not own[0].startswith(self.open[-1][0]):
                 self.open.pop()
-            self.open.append(rule)
+            self.open.append(own)
             self.at += 1
         while self.open and not key.startswith(self.open[-1][0]):
             self.open.pop()
         found = None
-        for _, host, p, verdict in reversed(self.open):
-            if path.startswith(p):
-                rank = (len(host) + len(p), len(host), verdict == "block")
-                if found is None or rank > found[0]:
-                    found = (rank, host + p, verdict)
+        for _, host, paths, lengths in reversed(self.open):
+            fit = next((path[:n] for n in lengths if path[:n] in paths and n <= len(path)), None)
+            if fit is not None and (found is None or (len(host) + len(fit), len(host)) > found[0]):
+                found = ((len(host) + len(fit), len(host)), host + fit, paths[fit])
         return found and found[1:]
 
 
