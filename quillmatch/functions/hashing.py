@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import stash
 from ._udf import arrow
 
 FNV_BASIS = 1469598103934665603
@@ -132,10 +133,10 @@ def simhash128_sha1(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @lru_cache(maxsize=8)
 def minhash_constants(k: int = 128, seed: int = 1337) -> tuple[np.ndarray, np.ndarray]:
-    """k odd multipliers and k addends of 32 bits from a fixed generator."""
+    """k odd multipliers, then k addends: the low 32 of 64 bits drawn from a fixed generator."""
     rng = random.Random(seed)
-    a = [rng.getrandbits(32) | 1 for _ in range(k)]
-    return np.array(a, dtype=np.uint64), np.array([rng.getrandbits(32) for _ in range(k)], dtype=np.uint64)
+    low = [rng.getrandbits(64) & 0xFFFFFFFF for _ in range(2 * k)]
+    return np.array(low[:k], dtype=np.uint64) | np.uint64(1), np.array(low[k:], dtype=np.uint64)
 
 
 def minhash_py(keys: np.ndarray, k: int = 128, seed: int = 1337) -> np.ndarray:
@@ -171,8 +172,9 @@ def band_keys(signature: Column, rows: int = 4, k: int = 128) -> Column:
 def lsh_candidates(signed: DataFrame, rows: int = 4, k: int = 128) -> DataFrame:
     """(doc, head): documents that share a bucket with the smallest document of that bucket.
 
-    ``signed`` has doc_id and signature. A bucket gives a star, never all its pairs.
+    ``signed`` has doc_id and signature, which are computed once. A bucket gives a star, never all its pairs.
     """
+    signed = stash(signed.select("doc_id", "signature"), "signatures")
     spots = signed.select("doc_id", F.explode(band_keys(F.col("signature"), rows, k)).alias("b")).select("doc_id", "b.band", "b.bucket")
     heads = spots.groupBy("band", "bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
     return spots.join(heads, ["band", "bucket"]).where("doc_id <> head").select("doc_id", "head").distinct()

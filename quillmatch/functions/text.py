@@ -53,7 +53,7 @@ def shingle_list(words: str, k: int = K) -> Column:
 def shingle_keys(words: str, k: int = K) -> Column:
     """64-bit keys of all k-word windows of the array column named ``words``."""
     return F.expr(
-        f"case when size({words}) >= {k} then transform(sequence(1, size({words}) - {k - 1}), i -> xxhash64(array_join(slice({words}, i, {k}), ' '))) else cast(array() as array<bigint>) end"
+        f"case when size({words}) >= {k} then transform(sequence(1, size({words}) - {k - 1}), i -> xxhash64(slice({words}, i, {k}))) else cast(array() as array<bigint>) end"
     )
 
 
@@ -86,25 +86,32 @@ def strip_invisible(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, _INVISIBLE, ""), "\u00a0", " ")
 
 
+#: Letters and other word characters that are neither digits nor the underscore; a fixed class.
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def merge_hyphen_breaks(text: Column) -> Column:
-    """A word broken by a hyphen at a line end becomes one."""
-    return F.regexp_replace(text, r"(\p{L})[-–—]\s*\n\s*(\p{L})", "$1$2")
+    """Two runs of letters around a hyphen at a line end become one."""
+    return F.regexp_replace(text, rf"(?U)({_LETTER}+)[-–—]\s*\n\s*({_LETTER}+)", "$1$2")
 
 
 def collapse_line_breaks(text: Column) -> Column:
-    """A single line break inside a paragraph becomes a space."""
-    return F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
+    """A single line break behind a character becomes a space."""
+    return F.regexp_replace(text, r"(?<=[^\n])\n(?!\n)", " ")
 
 
 def fix_small_splits(text: Column, passes: int = 3) -> Column:
     """Neighbours of one to three letters that a bad extraction has split are joined."""
     for _ in range(passes):
-        text = F.regexp_replace(text, r"(?U)\b(\p{L}{1,3}) (\p{L}{1,3})\b", "$1$2")
+        text = F.regexp_replace(text, rf"(?U)(?<!{_WORD})({_LETTER}{{1,3}})\s({_LETTER}{{1,3}})(?!{_WORD})", "$1$2")
     return text
 
 
 def norm_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    """Two or more blanks become one, two or more line breaks with the blanks around them an empty line; both ends are stripped."""
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r" *\n{2,} *", "\n\n")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def alpha_density(text: Column) -> Column:
@@ -115,7 +122,8 @@ def alpha_density(text: Column) -> Column:
 
 def pdf_cleanup(text: Column) -> Column:
     """The clean-up chain for text extracted from pages."""
-    return norm_spaces(collapse_line_breaks(merge_hyphen_breaks(strip_invisible(text))))
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    return norm_spaces(fix_small_splits(collapse_line_breaks(merge_hyphen_breaks(strip_invisible(text)))))
 
 
 @arrow("string")
@@ -126,16 +134,21 @@ def nfkc_lower(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", gone.sub("", t).replace("\u00a0", " ")).lower())
 
 
+#: A letter, a hyphen, white space, a letter; a fixed pattern.
+_BROKEN = re.compile(r"([^\W\d_])-\s+([^\W\d_])")
+
+
 def _fold(t: str) -> str:
-    t = re.sub(r"([^\W\d_])-\s+([^\W\d_])", r"\1\2", re.sub(_INVISIBLE, "", t)).replace("\n", " ")
-    t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", t).casefold())
-    t = unicodedata.normalize("NFC", "".join(c for c in t if unicodedata.category(c) != "Mn")).replace("ё", "е")
-    return re.sub("[^_0-9a-z\u00c0-\u02af\u0400-\u04ff]+", " ", t).strip()
+    """Composed letters keep their marks; only marks that stand alone after composing and folding go."""
+    whole = _BROKEN.sub(r"\1\2", re.sub(_INVISIBLE, "", t).replace("\u00a0", " "))
+    folded = unicodedata.normalize("NFKC", whole).casefold()
+    bare = "".join(c for c in folded if unicodedata.category(c) != "Mn").replace("ё", "е")
+    return re.sub("[^_0-9a-zA-Z\u00c0-\u02af\u0400-\u04ff]+", " ", bare).strip()
 
 
 @arrow("string")
 def normalize_wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The wider normaliser: hyphenated breaks joined, case folded, marks dropped, extended Latin kept."""
+    """The wider normaliser: hyphenated breaks joined, composed, case folded, loose marks dropped, extended Latin kept."""
     for s in batches:
         yield s.map(lambda t: None if t is None else _fold(t))
 

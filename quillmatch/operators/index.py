@@ -74,11 +74,11 @@ def stats(corpus: DataFrame, k: int = T.K) -> DataFrame:
 
 
 def write(index: Index, path: str, files: int | None = None) -> None:
-    """Postings ranged and sorted by key; metadata beside them."""
+    """Postings ranged and sorted by key; metadata beside them. A segment that is written again replaces what it had."""
     spark = index.meta.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index.postings.repartitionByRange(n, GROUP, "key").sortWithinPartitions(GROUP, "key", "doc_id").write.partitionBy(GROUP).mode("append").parquet(f"{path}/postings")
-    index.meta.write.partitionBy(GROUP).mode("append").parquet(f"{path}/meta")
+    index.postings.repartitionByRange(n, GROUP, "key").sortWithinPartitions(GROUP, "key", "doc_id").write.partitionBy(GROUP).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/postings")
+    index.meta.write.partitionBy(GROUP).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str) -> Index:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.config import SearchConfig
+from ..plans.shared import stash
 from .index import GROUP, Index, postings_of, tokenized
 
 #: Distinct 64-bit keys that may be broadcast (some 40 MB in memory).
@@ -23,18 +24,19 @@ BROADCAST_KEYS = 2_000_000
 
 
 def query_terms(queries: DataFrame, k: int = T.K) -> DataFrame:
-    """query_id, key: the distinct shingles of each query. ``queries`` has query_id and text."""
+    """query_id, key: the distinct shingles of each query, written once. ``queries`` has query_id and text."""
     words = T.with_tokens(queries.select("query_id", "text"))
-    return words.where(F.size("words") >= k).select("query_id", F.explode(F.array_distinct(T.shingle_keys("words", k))).alias("key")).distinct()
+    terms = words.where(F.size("words") >= k).select("query_id", F.explode(F.array_distinct(T.shingle_keys("words", k))).alias("key")).distinct()
+    return stash(terms, "terms")
 
 
 def touched(corpus: DataFrame, terms: DataFrame, k: int = T.K, broadcast_keys: int = BROADCAST_KEYS) -> Index:
-    """The part of the corpus's index that the terms can meet, without building the rest."""
+    """The part of the corpus's index that the terms can meet, without building the rest: one scan of the corpus, written once."""
     words = tokenized(corpus)
     posts = postings_of(words, k)
     keys = terms.select("key").distinct()
     small = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
-    met = posts.join(F.broadcast(keys) if small else keys, "key", "left_semi").distinct()
+    met = stash(posts.join(F.broadcast(keys) if small else keys, "key", "left_semi").distinct(), "touched")
     return Index(met.select(GROUP, "key", "doc_id"), met.select(GROUP, "doc_id", "tok_len").distinct())
 
 
@@ -83,7 +85,7 @@ def search_index(terms: DataFrame, index: Index, config: SearchConfig | None = N
     config = (config or SearchConfig()).clamped(profile)
     if config.top_k <= 0:
         raise ValueError("top_k must be positive")
-    ranked = ranked_terms(terms, index, config, profile)
+    ranked = stash(ranked_terms(terms, index, config, profile), "ranked")
     kept = ranked.where(F.col("rk") <= config.rare_terms) if profile == "M" else ranked
     cand = candidates(seeds(ranked, config), index, config)
     sizes = kept.groupBy("query_id", GROUP).agg(F.count("*").alias("q"))

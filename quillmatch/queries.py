@@ -168,6 +168,15 @@ def shard_crc32(s, d):
     return table(s, d, "documents").select("doc_id", H.shard_crc32(key, 8).alias("shard_id"))
 
 
+#: CRC-32 bit by bit over the few distinct owner keys.
+SQL_CRC32 = """
+with own as (select doc_id, coalesce(source, '') || '|' || coalesce(lang, '') || '|' as key from documents),
+b as (select key, hex(encode(key)) as h, octet_length(encode(key)) as n from (select distinct key from own)),
+x as (select key, list_transform(range(1, n + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint) as bytes from b),
+c as (select key, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda r, v: list_reduce(list_prepend(xor(r, v), range(8)), lambda y, i: xor(y >> 1, 3988292384::bigint * (y & 1)))), 4294967295::bigint) as crc from x)
+select doc_id, (crc % 8)::int as shard_id from own join c using (key)"""
+
+
 def l1_assignment(s, d):
     return segments.assign_level1(_catalog(s, d))
 
@@ -301,7 +310,8 @@ def nfkc_lower(s, d):
 
 
 def normalize_wide(s, d):
-    return _docs(s, d).select("doc_id", F.size(F.split(T.normalize_wide("text"), " ")).alias("words"))
+    own = _docs(s, d).select("doc_id", T.normalize_wide("text").alias("t"))
+    return own.select("doc_id", F.size(F.split("t", " ")).alias("words"), F.md5("t").alias("h"))
 
 
 def html_text(s, d):
@@ -426,6 +436,7 @@ QUERIES = {
 
 _TOKS = f"with t as (select doc_id, {SQL_TOKENS} as w from documents)"
 ORACLES = {
+    "shard_crc32": SQL_CRC32,
     "search_segment_profile": _sql_search(),
     "search_monolith_profile": _sql_search("where rk <= 256"),
     "norm_text": f"select doc_id, {SQL_NORM} as norm from documents",

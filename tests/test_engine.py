@@ -72,6 +72,14 @@ def test_cleaners(spark):
     assert one(spark, T.merge_hyphen_breaks(F.col("t")), t="exam-\n ple") == "example"
     assert one(spark, T.collapse_line_breaks(F.col("t")), t="a\nb\n\nc") == "a b\n\nc"
     assert one(spark, T.norm_spaces(F.col("t")), t=" a \t b\n\n\n\nc ") == "a b\n\nc"
+    assert one(spark, T.norm_spaces(F.col("t")), t="a\tb \n\n c\n") == "a\tb\n\nc"
+    assert one(spark, T.merge_hyphen_breaks(F.col("t")), t="ab-\ncd-\nef 1-\n2") == "abcd-\nef 1-\n2"
+    assert one(spark, T.collapse_line_breaks(F.col("t")), t="\na\nb") == "\na b"
+    assert one(spark, T.fix_small_splits(F.col("t")), t="th e en\td of ally") == "theend of ally"
+    assert one(spark, T.pdf_cleanup(F.col("t")), t="\ufeffWord\u00ady exam-\r\nple in\u00a0it \n\n\n x") == "Wordy example init\n\nx"
+    wide = {"йод её café Їжак": "йод ее café їжак", "Straße-\n Ende": "strasseende", "co-\n operate x\u0301y": "cooperate xy", "ﬁne\u00a0İ": "fine i", "e\u0301a": "éa"}
+    for t, want in wide.items():
+        assert one(spark, T.normalize_wide("t"), t=t) == want
     assert one(spark, T.alpha_density(F.col("t")), t="") == 0.0
     assert one(spark, T.nfkc_lower("t"), t="ﬁ​ Å") == "fi å"
     assert one(spark, T.html_text("t"), t="<p>a<b>b</b><script>x</script><!-- c --></p>&amp;") == "a b &"
@@ -96,6 +104,10 @@ def test_shards_and_sketches(spark):
 
     assert one(spark, H.shard_crc32(F.col("t"), 8), t="||") == zlib.crc32(b"||") % 8
     assert (H.minhash_py(np.zeros(0, dtype=np.uint64)) == 0xFFFFFFFF).all()
+    rng = random.Random(1337)  # multipliers first, then addends, each from 64 drawn bits
+    drawn = [rng.getrandbits(64) for _ in range(6)]
+    a, b = H.minhash_constants(3)
+    assert a.tolist() == [(x | 1) & 0xFFFFFFFF for x in drawn[:3]] and b.tolist() == [x & 0xFFFFFFFF for x in drawn[3:]]
     a, b = np.arange(100, dtype=np.uint64) * 977, np.arange(20, 120, dtype=np.uint64) * 977
     near = (H.minhash_py(a) == H.minhash_py(b)).mean()
     assert abs(near - 80 / 120) < 0.15
@@ -225,8 +237,11 @@ def test_catalog(spark, tmp_path):
     c = catalog.Catalog(spark, str(tmp_path / "cat"))
     t = c.enqueue("build", {"a": 1})
     assert c.next_task()["task_id"] == t and c.next_task() is None
+    other = c.enqueue("build", {"a": 2})
+    claim, fs = c._fs(f"{c.root}/_claims/{other}-0")
+    assert fs.createNewFile(claim) and c.next_task() is None  # another worker was first
     c.finish_task(t, "x" * 3000)
-    row = c.table("index_tasks").first()
+    row = c.table("index_tasks").where(F.col("task_id") == t).first()
     assert (row.status, row.attempts, len(row.last_error)) == ("failed", 1, 2000)
     c.log_error("etl", "E1", "bad", doc_id=3)
     c.append("documents", spark.createDataFrame([(1, 0, "uploaded"), (2, 1, "uploaded")], "doc_id long, shard_id int, status string"))
@@ -234,6 +249,13 @@ def test_catalog(spark, tmp_path):
         c.reset()
     assert c.reset(shard_id=1, confirm=True)["documents"] == 1
     assert c.table("documents").count() == 1 and c.table("index_errors").count() == 1
+    # what a crash leaves aside changes nothing, and old versions are gone
+    spark.range(3).write.parquet(f"{c.root}/_documents-left")
+    assert c.table("documents").count() == 1 and len(list((tmp_path / "cat" / "documents").glob("v*"))) == 1
+    c.append("segments", spark.createDataFrame([(1, 0, 1, "ready"), (2, 0, 1, "ready")], "segment_id long, shard_id int, level int, status string"))
+    c.touch_segments([2])
+    c.retire_segments([1])
+    assert {r.segment_id: (r.status, r.last_access_at is not None) for r in c.table("segments").collect()} == {1: ("retired", False), 2: ("ready", True)}
 
 
 # --- JSON --------------------------------------------------------------------------
