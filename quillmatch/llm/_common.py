@@ -8,11 +8,7 @@ Python code sees bounded blocks of rows.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import drop_stash, freed, new_path, shared_dir, stash
+
+__all__ = ["blocks", "drop_stash", "freed", "new_path", "partitions", "pick", "ragged", "raw", "record", "shared_dir", "stash", "table"]
+
 #: Text bytes that a Python block holds at most, apart from a single longer text.
 BLOCK_BYTES = 1 << 20
 
@@ -43,62 +43,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{at[n]}").alias(n) for n in names])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Where none is named, a local master gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillmatch-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-        _delete_on_exit(spark, found)
-    return found.rstrip("/")
-
-
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _delete_on_exit(spark, path)
-    return path
-
-
-@contextmanager
-def freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the jobs inside go when each has ended, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-def stash(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    with freed(spark):
-        df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Delete a stashed table that no later job reads."""
-    path, spark = getattr(df, "_stash_path", None), df.sparkSession
-    if path:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
