@@ -73,7 +73,7 @@ def n_elements(text: Column) -> Column:
 
 
 def type_tag(text: Column) -> Column:
-    """array, object, int64, double, string, bool or null; null for invalid text."""
+    """array, object, int64, double, string, bool or null of the text's first value; null for invalid text. What follows the value is ``is_valid``'s concern."""
     v = F.try_parse_json(text)
     s = F.schema_of_variant(v)
     return (

@@ -391,6 +391,50 @@ def json_points(s, d):
     return own.select("vec_id", *[J.at_pointer(F.col("j"), f"/p/{i}", "double").cast("float").cast("double").alias(c) for i, c in enumerate("xyz")])
 
 
+#: Nested, escaped, repeated, spaced and broken JSON made of the columns of events; the same expression in both dialects.
+SQL_MIXED = """case event_id % 8
+ when 0 then concat('{"a":{"b/c":[', event_id, ',', user_id, ',"x"]},"k":null}')
+ when 1 then concat('[', event_id, ',true,{"t":"', event_type, '"}]')
+ when 2 then concat('{"k":', event_id, ',"k":', user_id, '}')
+ when 3 then concat('{"k":', event_id)
+ when 4 then concat('"', event_type, ' q"')
+ when 5 then concat(' { "t" : "a  b" , "k" : ', event_id, ' , "n" : -', event_id, '.5 } ')
+ when 6 then concat('[1,2', event_type)
+ else concat('{"k":', event_id, '} x') end"""
+
+
+def _mixed(s, d):
+    return table(s, d, "events").select("event_id", F.expr(SQL_MIXED).alias("j"))
+
+
+def json_mixed(s, d):
+    """Validity, type, key lookup and pointers over nested and broken JSON; a text with a repeated key has no type, one with more behind its first value has that value's."""
+    j = F.col("j")
+    return _mixed(s, d).select(
+        "event_id", J.is_valid("j").alias("ok"), J.type_tag(j).alias("type"), J.at_pointer(j, "/a/b~1c/1", "long").alias("deep"), J.at_pointer(j, "/2/t", "string").alias("third"), J.at_pointer(j, "/n", "double").alias("n"), F.md5(J.minify("j")).alias("small")
+    )
+
+
+def json_mixed_stats(s, d):
+    own = _mixed(s, d).where("event_id % 8 in (0, 1, 4, 5)").select((F.col("event_id") % 8).alias("kind"), J.stats("j").alias("s"))
+    names = "objects arrays strings integers floats trues nulls keys key_bytes".split()
+    return own.groupBy("kind").agg(*[F.sum(f"s.{n}").alias(n) for n in names], F.max("s.depth").alias("depth"))
+
+
+SQL_JSON_MIXED = f"""
+with m as (select event_id, {SQL_MIXED} as j from events), v as (select *, json_valid(j) as ok from m)
+select event_id, ok,
+ case when event_id % 8 = 7 then 'object' when not ok or event_id % 8 = 2 then null else case json_type(case when ok then j end) when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' end end as type,
+ case when ok then json_extract_string(case when ok then j end, '/a/b~1c/1')::bigint end as deep, case when ok then json_extract_string(case when ok then j end, '/2/t') end as third,
+ case when ok then json_extract_string(case when ok then j end, '/n')::double end as n,
+ md5(case when event_id % 8 = 5 then replace(replace(replace(replace(trim(j), ' : ', ':'), ' , ', ','), '{{ ', '{{'), ' }}', '}}') when ok then j end) as small from v"""
+SQL_MIXED_STATS = """
+with m as (select event_id % 8 as kind, count(*) as c from events where event_id % 8 in (0, 1, 4, 5) group by all)
+select kind, c * case kind when 0 then 2 when 1 then 1 when 4 then 0 else 1 end as objects, c * case kind when 0 then 1 when 1 then 1 else 0 end as arrays, c * case kind when 0 then 1 when 1 then 1 when 4 then 1 else 1 end as strings,
+ c * case kind when 0 then 2 when 1 then 1 when 4 then 0 else 1 end as integers, c * case kind when 5 then 1 else 0 end as floats, c * case kind when 1 then 1 else 0 end as trues, c * case kind when 0 then 1 else 0 end as nulls,
+ c * case kind when 0 then 3 when 1 then 1 when 4 then 0 else 3 end as keys, c * case kind when 0 then 5 when 1 then 1 when 4 then 0 else 3 end as key_bytes, case kind when 0 then 4 when 1 then 3 when 4 then 1 else 2 end as depth from m"""
+
+
 def utf8_valid(s, d):
     return _docs(s, d).groupBy(F.is_valid_utf8("text").alias("ok")).agg(F.count("*").alias("n"))
 
@@ -428,7 +472,7 @@ QUERIES = {
         search_segment_profile, search_monolith_profile, norm_text, token_counts, doc_meta, rejected_docs, index_stats, index_validate, shingle_df_histogram,
         seeds_rare_first, seed_budget, candidate_hits, decision_counts, allow_list, exact_duplicates, shard_md5, shard_crc32, l1_assignment, segment_catalog,
         compacted_catalog, catalog_status, shards_to_compact, levels_dense_rank, base_pending, cross_segment_merge, minhash_signatures, lsh_candidates, simhash128,
-        fnv_tokens, sha1_shingles, fnv_windows, sha1_windows, norm_for_local, pdf_cleanup, alpha_density, nfkc_lower, normalize_wide, html_text, json_pointer, json_keys, json_types, json_valid,
+        fnv_tokens, sha1_shingles, fnv_windows, sha1_windows, norm_for_local, pdf_cleanup, alpha_density, nfkc_lower, normalize_wide, html_text, json_pointer, json_keys, json_types, json_valid, json_mixed, json_mixed_stats,
         json_minify, json_stats, json_msgpack, json_partial, json_top, json_find, json_distinct_ids, json_brand_sum, json_points, utf8_valid, event_window_counts,
         docs_in_labels, docs_not_in_labels, sources_having, newest_by_source,
     )
@@ -436,6 +480,8 @@ QUERIES = {
 
 _TOKS = f"with t as (select doc_id, {SQL_TOKENS} as w from documents)"
 ORACLES = {
+    "json_mixed": SQL_JSON_MIXED,
+    "json_mixed_stats": SQL_MIXED_STATS,
     "shard_crc32": SQL_CRC32,
     "search_segment_profile": _sql_search(),
     "search_monolith_profile": _sql_search("where rk <= 256"),
