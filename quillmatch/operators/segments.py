@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import stash
 from .index import GROUP, Index
 
 DOCS_PER_SEGMENT = 10
@@ -24,11 +25,24 @@ def ready_for_etl(documents: DataFrame, files: DataFrame | None = None, limit: i
     return own.orderBy("doc_id").limit(limit)
 
 
+def placed(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with their ``place``, from 0 in each group by ``order``, without bringing a group into one task.
+
+    Rows are ranged and sorted; counts of each range and group, added up, give
+    the place of a range's first row.
+    """
+    own = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    own = stash(own.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "placed")
+    sums = own.groupBy(*group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")  # a row for each range
+    return own.join(sums.withColumn("_before", before), [*group, "_part"]).withColumn("place", F.col("_row") - F.col("_first") + F.col("_before")).drop("_part", "_row", "_first", "_n", "_before")
+
+
 def assign_level1(documents: DataFrame, per_segment: int = DOCS_PER_SEGMENT) -> DataFrame:
     """shard_id, batch, doc_id: documents waiting for a first segment in batches by id; the last may be partial."""
     own = documents.where("status = 'etl_ok' and segment_id is null")
-    place = F.row_number().over(Window.partitionBy("shard_id").orderBy("doc_id")) - 1
-    return own.select("shard_id", F.expr("0").alias("batch"), "doc_id").withColumn("batch", F.floor(place / per_segment).cast("long"))
+    own = placed(own.select("shard_id", "doc_id"), ["shard_id"], ["doc_id"])
+    return own.select("shard_id", F.floor(F.col("place") / per_segment).cast("long").alias("batch"), "doc_id")
 
 
 def build_level1(documents: DataFrame, segments: DataFrame, per_segment: int = DOCS_PER_SEGMENT) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +50,7 @@ def build_level1(documents: DataFrame, segments: DataFrame, per_segment: int = D
     batches = assign_level1(documents, per_segment)
     first = segments.agg(F.coalesce(F.max("segment_id"), F.lit(0)).alias("top"))
     made = batches.groupBy("shard_id", "batch").agg(F.count("*").alias("doc_count"))
-    made = made.crossJoin(first).withColumn("segment_id", F.col("top") + F.row_number().over(Window.orderBy("shard_id", "batch")))  # catalog rows
+    made = placed(made, [], ["shard_id", "batch"]).crossJoin(first).withColumn("segment_id", F.col("top") + F.col("place") + 1)  # first is one row
     fresh = made.select("segment_id", "shard_id", F.lit(1).alias("level"), F.lit("ready").alias("status"), "doc_count")
     to = batches.join(made.select("shard_id", "batch", F.col("segment_id").alias("made")), ["shard_id", "batch"]).select("doc_id", "made")
     docs = documents.join(to, "doc_id", "left").withColumns({"segment_id": F.coalesce("made", "segment_id"), "status": F.when(F.col("made").isNotNull(), "indexed").otherwise(F.col("status"))}).drop("made")
@@ -46,9 +60,8 @@ def build_level1(documents: DataFrame, segments: DataFrame, per_segment: int = D
 def compaction_plan(segments: DataFrame, level: int, fan_in: int = FAN_IN) -> DataFrame:
     """segment_id, shard_id, batch: full batches of the lowest ids among ready segments of a level."""
     own = segments.where((F.col("level") == level) & (F.col("status") == "ready"))
-    by = Window.partitionBy("shard_id")
-    place = F.row_number().over(by.orderBy("segment_id"))
-    own = own.withColumn("batch", F.floor((place - 1) / fan_in)).withColumn("all", F.count("*").over(by))
+    sizes = own.groupBy("shard_id").agg(F.count("*").alias("all"))
+    own = placed(own.select("segment_id", "shard_id"), ["shard_id"], ["segment_id"]).join(sizes, "shard_id").withColumn("batch", F.floor(F.col("place") / fan_in))
     return own.where((F.col("batch") + 1) * fan_in <= F.col("all")).select("segment_id", "shard_id", "batch")
 
 
@@ -58,7 +71,7 @@ def compact(documents: DataFrame, segments: DataFrame, level: int, fan_in: int =
     counts = segments.select("segment_id", "doc_count")
     made = own.join(counts, "segment_id").groupBy("shard_id", "batch").agg(F.sum("doc_count").alias("doc_count"))
     top = segments.agg(F.coalesce(F.max("segment_id"), F.lit(0)).alias("top"))
-    made = made.crossJoin(top).withColumn("made", F.col("top") + F.row_number().over(Window.orderBy("shard_id", "batch")))  # catalog rows
+    made = placed(made, [], ["shard_id", "batch"]).crossJoin(top).withColumn("made", F.col("top") + F.col("place") + 1)  # top is one row
     to = own.join(made.select("shard_id", "batch", "made"), ["shard_id", "batch"]).select("segment_id", "made")
     docs = documents.join(to, "segment_id", "left").withColumn("segment_id", F.coalesce("made", "segment_id")).drop("made").select(*documents.columns)
     old = segments.join(to, "segment_id", "left").withColumn("status", F.when(F.col("made").isNotNull(), "merged").otherwise(F.col("status"))).drop("made")
