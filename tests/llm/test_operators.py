@@ -852,3 +852,25 @@ def test_pipeline(spark, sf):
     packed = p.packing(spark, last, sf)
     assert packed.agg(F.sum("length")).first()[0] == sum(encoder(TOKENIZER).counts([r.text for r in last.collect()])) + last.count()
     assert p.run(spark, sf).count() == packed.count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table, by the definitions of corpus_pipeline."""
+    import corpus_pipeline as p
+
+    rng = random.Random(21)
+    one, two = (" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(90)) for _ in range(2))
+    item = " ".join(f"item{rng.randrange(10**5)}" for _ in range(30))
+    own = [(1, one), (1, one), (2, one + " end"), (None, two), (3, None), (4, ""), (5, "too short"), (6, two + " " + item)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, k1 string, s string, row long"
+    df = spark.createDataFrame([(k, t, None, "s", None, "x", "y", 7) for k, t in own], columns)
+    df.repartition(2).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    for at in "ab":
+        spark.createDataFrame([(99, 1, 0), (None, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / at / "labels.parquet"))
+        spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / at / "benchmark.parquet"))
+    code = encoder(TOKENIZER)
+    got = {(r.doc_id, r.doc_tokens) for r in p.run(spark, str(tmp_path / "a")).collect()}
+    # 1 and 2 are near copies; the null id and 6 share a long string, which goes from both, and 6 holds the item
+    assert got == {(1, code.counts([one])[0] + 1), (None, 1)}
+    assert p.run(spark, str(tmp_path / "b")).count() == 0
