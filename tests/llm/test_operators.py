@@ -513,7 +513,16 @@ def test_near_blocks(spark, limit):
     own = spark.createDataFrame(list(enumerate(texts)), "s long, text string")
     sets = [set(near_dup.shingles(t.encode()).tolist()) for t in texts]
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert {(min(r), max(r)) for r in near_dup._apart(df, own, 5, 0.8, limit).collect()} == want and want
+    got = {(min(r), max(r)) for r in near_dup._apart(df, own, 5, 0.8, limit).collect()}
+    assert want and got <= want and len(got) < len(want)
+
+    def parts(links) -> set:
+        up = list(range(len(texts)))
+        for a, b in links:
+            up = [up[a] if x == up[b] else x for x in up]
+        return {frozenset(i for i, x in enumerate(up) if x == g) for g in set(up)}
+
+    assert parts(got) == parts(want)
 
 
 def test_near_overlaps(monkeypatch):
