@@ -1,13 +1,16 @@
-"""Near-duplicates by similarity: MinHash bands propose pairs, Jaccard decides.
+"""Near-duplicates by similarity: SimHash balls and MinHash bands propose pairs, Jaccard decides.
 
 A text is the set of its windows of ``words`` words (a shorter text is one
 window, a text without words the empty set). Texts with equal sets are one node
-throughout. Each of ``BANDS`` bands hashes ``ROWS`` minima; two sets of Jaccard
-similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at
-0.8. No pair counts before its Jaccard similarity has been computed from the
-texts themselves.
+throughout. Its SimHash fingerprint is taken over the set, and fingerprints
+within ``radius`` bits meet by the balls of simhash_dedup: each component of
+their links is a bucket. At 0.8 most fingerprints differ in more bits, so each
+of ``BANDS`` bands gives a bucket as well: it hashes ``ROWS`` minima, and two
+sets of Jaccard similarity s share a band with probability
+1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8. No pair counts before its Jaccard
+similarity has been computed from the texts themselves.
 
-Pairs of a band's bucket come in two steps:
+Pairs of a bucket come in two steps:
 
 1. In rounds, one member of a bucket's largest component meets all members of
    its other components. The first is the one that shares most buckets with
@@ -20,7 +23,7 @@ Pairs of a band's bucket come in two steps:
 
 So no link between components of a bucket is lost, whatever ``ROUNDS`` is. A
 crowd whose members are alike costs pairs in proportion to its members. In a
-crowd of texts that share bands and are not alike, step 2 makes a row for each
+crowd of texts that share buckets and are not alike, step 2 makes a row for each
 member and block, not for each pair; its comparisons still grow with the
 members outside the largest component times the bucket, and it is not cut short.
 
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ._common import blocks, drop_stash, pick, raw, record, stash
 from ._graph import components
-from .simhash_dedup import _row_keys
+from .simhash_dedup import RADIUS, _row_keys, links, majority
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -93,8 +96,8 @@ def band_hashes(own: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[i
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, k1, k2 (a 128-bit key of id and text), s (a key of the set), size and bands of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, k1, k2 (a 128-bit key of id and text), s (a key of the set), size, fp (the fingerprint as a signed long) and bands of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -102,10 +105,11 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for block in blocks(batches):
             sets = [shingles(t, words) for t in raw(block.column(1))]
             keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64)
-            yield record(schema, block.column(0), block.column(2), block.column(3), pa.array(keys.view(np.int64)), [len(x) for x in sets], [band_hashes(x) for x in sets])
+            fps = np.array([majority(x) for x in sets], dtype=np.uint64)
+            yield record(schema, block.column(0), block.column(2), block.column(3), pa.array(keys.view(np.int64)), [len(x) for x in sets], pa.array(fps.view(np.int64)), [band_hashes(x) for x in sets])
 
     own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.withColumns(_row_keys()).mapInArrow(run, "doc_id long, k1 long, k2 long, s long, size long, bands array<long>")
+    return own.withColumns(_row_keys()).mapInArrow(run, "doc_id long, k1 long, k2 long, s long, size long, fp long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -213,12 +217,20 @@ def _apart(rest: DataFrame, texts: DataFrame, words: int, least: float, limit: i
     return rows.repartition("g").sortWithinPartitions("g", "side", "s").mapInArrow(run, "u long, v long").distinct()
 
 
-def groups(nodes: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def _balls(nodes: DataFrame, radius: int) -> DataFrame:
+    """(s, size, key): nodes whose fingerprints are joined by links of at most ``radius`` bits have the same key."""
+    edges = stash(links(nodes.select("fp").distinct(), radius), "balls")
+    named = components(edges).withColumnRenamed("node", "fp")
+    drop_stash(edges)
+    return nodes.join(named, "fp", "left").select("s", "size", F.xxhash64(F.lit("ball"), F.coalesce("label", "fp")).alias("key"))
+
+
+def groups(nodes: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY, rounds: int = ROUNDS, radius: int = RADIUS) -> DataFrame:
     """(s, label): the component of each node that shares a bucket, by verified links.
 
-    ``nodes`` has s without repeats, size and bands; ``texts`` has a text for each s.
+    ``nodes`` has s without repeats, size, fp and bands; ``texts`` has a text for each s.
     """
-    spots = nodes.select("s", "size", F.explode("bands").alias("key"))
+    spots = nodes.select("s", "size", F.explode("bands").alias("key")).unionAll(_balls(nodes, radius))
     # only what shares a bucket goes on
     shared = spots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     spots = stash(spots.join(shared, "key").select("s", "size", "key", "n"), "spots")
@@ -272,15 +284,15 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_keep(docs: DataFrame, columns: tuple[str, ...], words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+def near_keep(docs: DataFrame, columns: tuple[str, ...], words: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The named columns of one document of each group: that with the smallest id, of equal rows one."""
     own = stash(sketches(docs, words), "sketches")
     head = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
-    heads = stash(own.groupBy("s").agg(F.min(head).alias("head"), F.first("size").alias("size"), F.first("bands").alias("bands")), "heads")
+    heads = stash(own.groupBy("s").agg(F.min(head).alias("head"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "heads")
     drop_stash(own)
     keyed = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns(_row_keys()).select("k1", "k2", "text")
     texts = keyed.join(heads.select("s", F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2")), ["k1", "k2"]).select("s", "text").dropDuplicates(["s"])
-    labels = groups(heads.select("s", "size", "bands"), texts, words, least)
+    labels = groups(heads.select("s", "size", "fp", "bands"), texts, words, least, radius=radius)
     linked = heads.select("s", "head").join(labels, "s")
     gone = linked.join(linked.groupBy("label").agg(F.min("head").alias("least")), "label").where(F.col("head") != F.col("least")).select("s")
     kept = heads.join(gone, "s", "left_anti").select("head.k1", "head.k2")

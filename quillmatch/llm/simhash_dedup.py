@@ -59,7 +59,11 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     ends = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(own) - words + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none: zero."""
     votes = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 1 << 16):
         votes += np.unpackbits(h[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

@@ -555,6 +555,39 @@ def test_near_keep(spark, empty):
     assert near_dup.near_keep(empty, ("doc_id", "text")).count() == 0
 
 
+def test_near_balls(spark, monkeypatch):
+    """Texts whose fingerprints lie within 4 bits meet without a common band; their similarity decides."""
+    import xxhash
+
+    monkeypatch.setattr(near_dup, "band_hashes", lambda own: [int(own.view(np.int64).sum())])  # of each set alone
+    rng = random.Random(17)
+
+    def changed(n: int, k: int) -> tuple[str, str, int]:
+        t = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        u = list(t)
+        for at in range(6, 6 + 9 * k, 9):
+            u[at] = f"v{rng.randrange(10**6)}"
+        prints = []
+        for x in (t, u):
+            h = {xxhash.xxh64_intdigest(" ".join(x[i : i + 5]).encode(), 42) for i in range(n - 4)}
+            prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+        return " ".join(t), " ".join(u), (prints[0] ^ prints[1]).bit_count()
+
+    own: list = []
+    for n, k, count in ((300, 2, 6), (160, 4, 2)):  # of Jaccard similarity 0.93 and 0.77
+        while count:
+            t, u, bits = changed(n, k)
+            if bits <= 4:
+                own += [(len(own), t), (len(own) + 1, u)]
+                count -= 1
+    seen = [near_dup.band_hashes(near_dup.shingles(t.encode())) for _, t in own]
+    up = alike([t.encode() for _, t in own])
+    kept = {i for i, g in enumerate(up) if g == i}
+    assert kept == {0, 2, 4, 6, 8, 10, 12, 13, 14, 15} and len({x for b in seen for x in b}) == len(own)
+    got = near_dup.near_keep(spark.createDataFrame(own, DOCS), ("doc_id", "text"))
+    assert {r.doc_id for r in got.collect()} == kept
+
+
 def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "u long, v long")
     got = {r.node: r.label for r in components(df).collect()}
