@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillmatch.functions import hashing as H
 from quillmatch.functions import jsonops as J
 from quillmatch.functions import text as T
+from quillmatch.functions._udf import arrow
 from quillmatch.operators import catalog, index, search, segments
 from quillmatch.plans.config import SearchConfig
 from quillmatch.queries import QUERIES
@@ -85,6 +86,22 @@ def test_cleaners(spark):
     assert one(spark, T.html_text("t"), t="<p>a<b>b</b><script>x</script><!-- c --></p>&amp;") == "a b &"
 
 
+def test_pieces(spark):
+    """A Python function sees about 1 MB at once, however long the texts of an Arrow batch are; all rows come back in order."""
+    import pandas as pd
+
+    @arrow("struct<seen: long, own: long>")
+    def sizes(batches):
+        for s in batches:
+            own = s.map(lambda t: 0 if t is None else len(t))
+            yield pd.DataFrame({"seen": [int(own.sum())] * len(s), "own": own})
+
+    df = spark.range(0, 2000, 1, 1).select("id", F.expr("case when id % 7 = 0 then null else repeat('x', cast(id * 5 as int)) end").alias("t"))
+    rows = df.union(spark.range(1).select("id", F.expr("repeat('y', 3000000)"))).select("id", "t", sizes("t").alias("s")).collect()
+    assert all(r.s.own == len(r.t or "") for r in rows) and len(rows) == 2001
+    assert max(r.s.seen for r in rows[:-1]) <= 1 << 20 and rows[-1].s.seen == 3_000_000
+
+
 @given(st.binary(max_size=40))
 def test_fnv_batch(data):
     assert int(H.fnv1a64_batch([data, b"", data + b"x"])[0]) == H.fnv1a64_py(data)
