@@ -32,15 +32,19 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
-def normalize(text: Column) -> Column:
-    """Case folding for four alphabets, combining marks deleted, any other run of non-word characters one space."""
+def tokens(text: Column) -> Column:
+    """Words of a text, none for the empty one: case folding for four alphabets, combining marks deleted, runs of word characters.
+
+    The words are matched, not what stands between them: Java tests the
+    characters of a negated class one by one through nested calls.
+    """
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0300-\u036f]", "")
-    return F.trim(F.regexp_replace(F.translate(bare, _UP, _LOW), "[^_0-9a-z\u0400-\u04ff]+", " "))
+    return F.regexp_extract_all(F.translate(bare, _UP, _LOW), F.lit("[_0-9a-z\u0400-\u04ff]+"), F.lit(0))
 
 
-def tokens(normal: Column) -> Column:
-    """Words of a normalised text; none for the empty text."""
-    return F.filter(F.split(normal, " "), lambda w: w != "")
+def normalize(text: Column) -> Column:
+    """The words of a text with one space between them."""
+    return F.array_join(tokens(text), " ")
 
 
 def shingle_list(words: str, k: int = K) -> Column:
@@ -57,9 +61,22 @@ def shingle_keys(words: str, k: int = K) -> Column:
     )
 
 
+def each_window(df: DataFrame, k: int = K) -> DataFrame:
+    """df (with ``words``) once for each k-word window, with its ``position`` from 0; ``window_words`` gives the window.
+
+    Only positions are exploded, so the windows of a text never stand side by side, and no lambda makes them.
+    """
+    return df.where(F.size("words") >= k).select(*df.columns, F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("position"))
+
+
+def window_words(k: int = K) -> Column:
+    """The words of the window at ``position``."""
+    return F.slice("words", F.col("position") + 1, F.lit(k))
+
+
 def with_tokens(df: DataFrame, text: str = "text", name: str = "words") -> DataFrame:
     """df with its tokens in place of the text."""
-    return once(df, name, tokens(normalize(F.col(text)))).drop(text)
+    return once(df, name, tokens(F.col(text))).drop(text)
 
 
 # --- other cleaners ------------------------------------------------------------

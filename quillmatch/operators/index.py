@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import spread
 
 GROUP = "segment_id"
 
@@ -44,12 +45,28 @@ def postings_of(words: DataFrame, k: int = T.K) -> DataFrame:
     return words.where(F.size("words") >= k).select(GROUP, "doc_id", F.size("words").alias("tok_len"), F.explode(F.array_distinct(T.shingle_keys("words", k))).alias("key"))
 
 
+def repeated_ids(corpus: DataFrame) -> DataFrame:
+    """segment_id, doc_id of documents that stand in more than one row."""
+    own = corpus if GROUP in corpus.columns else corpus.withColumn(GROUP, F.lit(0))
+    return own.groupBy(GROUP, "doc_id").count().where("count > 1").select(GROUP, "doc_id")
+
+
 def build(corpus: DataFrame, k: int = T.K) -> Index:
-    """An index of the corpus; raises nothing on an empty one (see ``require_documents``)."""
+    """An index of the corpus; raises nothing on an empty one (see ``require_documents``).
+
+    The postings of one row are distinct already, so only those of documents
+    with several rows are shuffled to be made so; ids are counted for that.
+    """
     words = tokenized(corpus)
     kept = words.where(F.size("words") >= k)
     meta = kept.groupBy(GROUP, "doc_id").agg(F.max(F.size("words")).alias("tok_len"))
-    return Index(postings_of(words, k).select(GROUP, "key", "doc_id").distinct(), meta)
+    again = repeated_ids(corpus)
+    if again.limit(1).count() == 0:
+        return Index(postings_of(words, k).select(GROUP, "key", "doc_id"), meta)
+    mark = again.select(F.col(GROUP).alias("_s"), F.col("doc_id").alias("_d"))
+    same = F.col(GROUP).eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    single, several = (postings_of(words.join(mark, same, how), k).select(GROUP, "key", "doc_id") for how in ("left_anti", "left_semi"))
+    return Index(single.unionByName(several.distinct()), meta)
 
 
 def rejected(corpus: DataFrame, k: int = T.K) -> DataFrame:
@@ -86,8 +103,20 @@ def load(spark: SparkSession, path: str) -> Index:
 
 
 def validate(index: Index) -> DataFrame:
-    """One row of counts that are all zero in a sound index."""
-    twice = index.postings.groupBy(GROUP, "key", "doc_id").count().where("count > 1").agg(F.count("*").alias("repeated_postings"))
-    lost = index.postings.join(index.meta, [GROUP, "doc_id"], "left_anti").agg(F.count("*").alias("postings_without_document"))
-    short = index.meta.agg(F.coalesce(F.sum((F.col("tok_len") < T.K).cast("long")), F.lit(0)).alias("short_documents"), (F.count("*") - F.count_distinct(GROUP, "doc_id")).alias("repeated_documents"))
-    return twice.crossJoin(lost).crossJoin(short)  # one row each
+    """One row of counts that are all zero in a sound index.
+
+    Postings are dealt once, by document; their repetitions and their
+    documents are counted where they lie. The segment is left out of the deal:
+    Spark drops a constant one from the groups, and would shuffle again.
+    """
+    by = [GROUP, "doc_id"]
+    posts = index.postings.select(*by, "key").repartition(spread(index.postings), "doc_id").groupBy(*by, "key").count()
+    posts = posts.groupBy(*by).agg(F.sum("count").alias("rows"), F.sum((F.col("count") > 1).cast("long")).alias("twice"))
+    known = F.col(GROUP).isNotNull() & F.col("doc_id").isNotNull()
+    docs = index.meta.groupBy(*by).agg(F.sum((F.col("tok_len") < T.K).cast("long")).alias("short"), F.count("*").alias("n"))
+    docs = docs.withColumn("more", F.col("n") - F.when(known, 1).otherwise(0))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return posts.join(docs, by, "full").agg(
+        total("twice", "repeated_postings"), total(F.when(F.col("n").isNull(), F.col("rows")), "postings_without_document"),
+        total("short", "short_documents"), total("more", "repeated_documents"),
+    )

@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import random
+import re
 import zipfile
 from collections import Counter, defaultdict
 
@@ -140,6 +141,48 @@ def test_shards_and_sketches(spark):
         assert got % (1 << 64) == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hs) >= len(hs))
 
 
+def test_tokens_are_what_stands_between(spark):
+    """Words are matched; splitting at all other characters gives the same ones."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aZ_09 .,-\u0301\u0451\u0401\u0130\u00e9\u0400\u04ff\u0500\u00ad\u200b\U0001f600\n\t\u00a0\u212a", k=rng.randrange(40))) for _ in range(500)]
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.tokens(F.col("text")).alias("w"), T.normalize(F.col("text")).alias("n")).collect():
+        low = "".join(c for c in r.text if not "\u0300" <= c <= "\u036f").translate(str.maketrans(T._UP, T._LOW))
+        assert r.w == [w for w in re.split("[^_0-9a-z\u0400-\u04ff]+", low) if w] and r.n == " ".join(r.w)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_negated_class_for_words(spark):
+    """A negated class costs Java a microsecond a character."""
+    assert "[^" not in plan_of(T.with_tokens(spark.range(1).selectExpr("string(id) as text")))
+
+
+def test_index_is_shuffled_once(spark):
+    """Postings go through one shuffle each; a document in several rows counts once, also one without an id; validation sees every fault."""
+    text = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, text), (1, text + " x"), (2, text), (None, text), (None, text), (3, "short"), (4, text), (4, text)], "doc_id long, text string")
+    for own in (docs, docs.where("doc_id = 2"), docs.where("doc_id = 3"), docs.withColumn("segment_id", F.expr("coalesce(doc_id, 0) % 2"))):
+        made = index.build(own)
+        got = Counter(tuple(r) for r in made.postings.collect())
+        seg = F.col("segment_id") if "segment_id" in own.columns else F.lit(0)
+        words = T.with_tokens(own.select(seg.alias("segment_id"), "doc_id", "text")).collect()
+        want = {(r.segment_id, r.doc_id, tuple(r.words[i : i + 9])) for r in words for i in range(len(r.words) - 8)}
+        assert set(got.values()) <= {1} and len(got) == len(want)
+        nulls = sum(d is None for _, d, _ in want)
+        assert tuple(index.validate(made).first()) == (0, nulls, 0, nulls > 0)
+    posts = spark.createDataFrame([(0, 7, 1), (0, 7, 1), (0, 7, 1), (0, 8, 1), (0, 8, 1), (1, 7, 1), (0, 7, 5), (0, 9, None)], "segment_id int, key long, doc_id long")
+    meta = spark.createDataFrame([(0, 1, 9), (0, 1, 8), (1, 1, 9), (0, 6, 3), (0, None, 9)], "segment_id int, doc_id long, tok_len int")
+    assert tuple(index.validate(index.Index(posts, meta)).first()) == (2, 2, 2, 2)
+    empty = index.Index(posts.limit(0), meta.limit(0))
+    assert tuple(index.validate(empty).first()) == (0, 0, 0, 0)
+    spark.range(200).selectExpr("id as doc_id", "repeat(concat(id, ' '), 20) as text").createOrReplaceTempView("lots")
+    deals = lambda df: [x.split("hashpartitioning(")[1].split(")")[0] for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in x and re.search("key#|h#", x.split("hashpartitioning(")[1].split(")")[0])]
+    made = index.build(spark.table("lots"))
+    assert not deals(index.validate(made))
+
+
 # --- search against plain Python ---------------------------------------------------
 
 
