@@ -81,6 +81,11 @@ def require_documents(index: Index) -> Index:
     return index
 
 
+def frequencies(postings: DataFrame, corpus: DataFrame, *by: str) -> DataFrame:
+    """df of every key of a whole corpus. Nearly all keys are rare, so they are shuffled as they are: tables of each task's keys would only spill."""
+    return postings.select(*by).repartition(spread(corpus), "key").groupBy(*by).agg(F.count("*").alias("df"))
+
+
 def stats(corpus: DataFrame, k: int = T.K) -> DataFrame:
     """One row: documents, accepted, rejected, postings before and after dedup, distinct shingles."""
     words = tokenized(corpus)

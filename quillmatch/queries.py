@@ -99,7 +99,8 @@ def index_validate(s, d):
 
 
 def shingle_df_histogram(s, d):
-    return index.build(_docs(s, d)).df().groupBy("df").agg(F.count("*").alias("shingles"))
+    docs = _docs(s, d)
+    return index.frequencies(index.build(docs).postings, docs, GROUP, "key").groupBy("df").agg(F.count("*").alias("shingles"))
 
 
 def seeds_rare_first(s, d):

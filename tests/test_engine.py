@@ -172,6 +172,10 @@ def test_index_is_shuffled_once(spark):
         assert set(got.values()) <= {1} and len(got) == len(want)
         nulls = sum(d is None for _, d, _ in want)
         assert tuple(index.validate(made).first()) == (0, nulls, 0, nulls > 0)
+        n = Counter(g for s, _, g in want) if seg is not None and "segment_id" not in own.columns else None
+        if n is not None:
+            hist = {r.df: r.n for r in index.frequencies(made.postings, own, "segment_id", "key").groupBy("df").agg(F.count("*").alias("n")).collect()}
+            assert hist == Counter(n.values())
     posts = spark.createDataFrame([(0, 7, 1), (0, 7, 1), (0, 7, 1), (0, 8, 1), (0, 8, 1), (1, 7, 1), (0, 7, 5), (0, 9, None)], "segment_id int, key long, doc_id long")
     meta = spark.createDataFrame([(0, 1, 9), (0, 1, 8), (1, 1, 9), (0, 6, 3), (0, None, 9)], "segment_id int, doc_id long, tok_len int")
     assert tuple(index.validate(index.Index(posts, meta)).first()) == (2, 2, 2, 2)
@@ -180,6 +184,7 @@ def test_index_is_shuffled_once(spark):
     spark.range(200).selectExpr("id as doc_id", "repeat(concat(id, ' '), 20) as text").createOrReplaceTempView("lots")
     deals = lambda df: [x.split("hashpartitioning(")[1].split(")")[0] for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in x and re.search("key#|h#", x.split("hashpartitioning(")[1].split(")")[0])]
     made = index.build(spark.table("lots"))
+    assert len(deals(index.frequencies(made.postings, spark.table("lots"), "segment_id", "key").groupBy("df").count())) == 1
     assert not deals(index.validate(made))
 
 
