@@ -91,7 +91,7 @@ def stats(corpus: DataFrame, k: int = T.K) -> DataFrame:
     words = tokenized(corpus)
     n = F.size("words")
     docs = words.agg(F.count("*").alias("lines_total"), F.sum((n >= k).cast("long")).alias("docs_ok"), F.sum((n < k).cast("long")).alias("docs_bad"), F.sum(F.when(n >= k, n - (k - 1)).otherwise(0).cast("long")).alias("pairs_before_dedup"))
-    posts = postings_of(words, k).groupBy("key").agg(F.count("*").alias("df")).agg(F.count("*").alias("shingles"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.coalesce(F.max("df"), F.lit(0)).alias("max_df"))
+    posts = frequencies(postings_of(words, k), corpus, "key").agg(F.count("*").alias("shingles"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.coalesce(F.max("df"), F.lit(0)).alias("max_df"))
     return docs.crossJoin(posts)  # one row each
 
 

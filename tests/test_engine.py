@@ -22,6 +22,7 @@ from quillmatch.functions import text as T
 from quillmatch.functions._udf import arrow
 from quillmatch.operators import catalog, index, search, segments
 from quillmatch.plans.config import SearchConfig
+from quillmatch.plans.shared import spread
 from quillmatch.queries import QUERIES
 from quillmatch.sources import corpus
 from quillmatch.streaming import ingest
@@ -159,6 +160,17 @@ def test_no_negated_class_for_words(spark):
     assert "[^" not in plan_of(T.with_tokens(spark.range(1).selectExpr("string(id) as text")))
 
 
+def test_frequencies_without_partial_tables(spark, tmp_path):
+    """Keys are shuffled as they are, to as many tasks as the input's size asks for."""
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = plan_of(QUERIES["index_stats"](spark, str(tmp_path)))
+    assert "hashpartitioning(key" in plan and "REPARTITION_BY_NUM" in plan
+    assert tuple(QUERIES["index_stats"](spark, str(tmp_path)).first()) == (1, 1, 0, 4, 4, 4, 1)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert spread(docs) == 4
+    assert spread(spark.createDataFrame([(i, "x" * 1_000_000) for i in range(50)], "id long, text string")) >= 4
+
+
 def test_index_is_shuffled_once(spark):
     """Postings go through one shuffle each; a document in several rows counts once, also one without an id; validation sees every fault."""
     text = " ".join(f"w{i}" for i in range(12))
