@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.config import SearchConfig
 from ..plans.shared import stash
-from .index import GROUP, Index, postings_of, tokenized
+from .index import GROUP, Index, tokenized
 
 #: Distinct 64-bit keys that may be broadcast (some 40 MB in memory).
 BROADCAST_KEYS = 2_000_000
@@ -32,8 +32,8 @@ def query_terms(queries: DataFrame, k: int = T.K) -> DataFrame:
 
 def touched(corpus: DataFrame, terms: DataFrame, k: int = T.K, broadcast_keys: int = BROADCAST_KEYS) -> Index:
     """The part of the corpus's index that the terms can meet, without building the rest: one scan of the corpus, written once."""
-    words = tokenized(corpus)
-    posts = postings_of(words, k)
+    words = T.each_window(tokenized(corpus), k)
+    posts = words.select(GROUP, "doc_id", F.size("words").alias("tok_len"), F.xxhash64(T.window_words(k)).alias("key"))
     keys = terms.select("key").distinct()
     small = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
     met = stash(posts.join(F.broadcast(keys) if small else keys, "key", "left_semi").distinct(), "touched")
