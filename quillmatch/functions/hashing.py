@@ -74,9 +74,14 @@ def fnv1a64_sql(text: Column) -> Column:
     return F.aggregate(codes, start, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
 
 
+def sha1_digits(text: Column) -> Column:
+    """First 8 bytes of SHA-1 as an unsigned number in decimal digits."""
+    return F.conv(F.substring(F.sha1(F.encode(text, "UTF-8")), 1, 16), 16, 10)
+
+
 def sha1_key(text: Column) -> Column:
-    """First 8 bytes of SHA-1 as an unsigned number (decimal(20,0))."""
-    return F.conv(F.substring(F.sha1(F.encode(text, "UTF-8")), 1, 16), 16, 10).cast("decimal(20,0)")
+    """The same number as decimal(20,0)."""
+    return sha1_digits(text).cast("decimal(20,0)")
 
 
 def shard_md5(key: Column, n: int) -> Column:

@@ -277,8 +277,7 @@ def sha1_shingles(s, d):
 
 def _windows(s, d, k):
     """doc_id, position, window: every k-word window of each document."""
-    words = T.with_tokens(_docs(s, d)).where(F.size("words") >= k)
-    return words.select("doc_id", F.posexplode(T.shingle_list("words", k)).alias("position", "window"))
+    return T.each_window(T.with_tokens(_docs(s, d)), k).select("doc_id", "position", F.array_join(T.window_words(k), " ").alias("window"))
 
 
 def fnv_windows(s, d):
@@ -288,7 +287,7 @@ def fnv_windows(s, d):
 
 def sha1_windows(s, d):
     """SHA-1 key of every five-word window of each document."""
-    return _windows(s, d, 5).select("doc_id", "position", H.sha1_key(F.col("window")).cast("string").alias("k"))
+    return _windows(s, d, 5).select("doc_id", "position", H.sha1_digits(F.col("window")).alias("k"))
 
 
 # --- other text functions -------------------------------------------------------------

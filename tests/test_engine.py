@@ -160,6 +160,17 @@ def test_no_negated_class_for_words(spark):
     assert "[^" not in plan_of(T.with_tokens(spark.range(1).selectExpr("string(id) as text")))
 
 
+def test_windows_without_lambdas(spark, tmp_path):
+    """Positions are exploded; windows and keys are those of the arrays."""
+    text = " ".join(f"w{i % 7}" for i in range(40))
+    spark.createDataFrame([(1, text), (2, "a b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("sha1_windows", "fnv_windows"):
+        assert "lambdafunction" not in plan_of(QUERIES[name](spark, str(tmp_path)))
+    words = T.with_tokens(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    own = T.each_window(words).select("position", F.xxhash64(T.window_words()).alias("key")).orderBy("position").collect()
+    assert [r.key for r in own] == words.where("doc_id = 1").select(T.shingle_keys("words")).first()[0]
+
+
 def test_frequencies_without_partial_tables(spark, tmp_path):
     """Keys are shuffled as they are, to as many tasks as the input's size asks for."""
     spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
